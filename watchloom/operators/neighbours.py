@@ -6,6 +6,8 @@ one task and keeps only its best ``k`` per query. No list of all pairs is ever m
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,34 +23,34 @@ def similar(
     k: int,
     key: str = "video_id",
     exclude_self: bool = True,
+    query_key: str | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest corpus rows of each query: query, neighbour, cosine, rank.
 
     Both sides hold (key, embedding); ties go to the smaller key.
     """
+    query_key = query_key or key
     corpus_blocks = _block_count(corpus, block_rows)
     query_blocks = _block_count(queries, block_rows)
     key_type = corpus.schema[key].dataType.simpleString()
+    query_type = queries.schema[query_key].dataType.simpleString()
 
     left = (
         corpus.select(F.col(key).alias("neighbour"), "embedding")
-        .withColumn("corpus_block", F.pmod(F.xxhash64("neighbour"), F.lit(corpus_blocks)))
+        .withColumn("corpus_block", F.pmod(F.xxhash64("neighbour"), F.lit(corpus_blocks)).cast("int"))
         .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     )
     right = (
-        queries.select(F.col(key).alias("query"), "embedding")
+        queries.select(F.col(query_key).alias("query"), "embedding")
         .withColumn("query_block", F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int"))
-        .withColumn(
-            "corpus_block",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(corpus_blocks - 1).cast("bigint"))),
-        )
+        .withColumn("corpus_block", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))))
     )
 
     def best(items: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         return _best_of_block(items, asked, k, exclude_self)
 
-    schema = f"query {key_type}, neighbour {key_type}, cosine double"
+    schema = f"query {query_type}, neighbour {key_type}, cosine double"
     on = ["query_block", "corpus_block"]
     partial = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(best, schema)
     order = Window.partitionBy("query").orderBy(F.desc("cosine"), F.asc("neighbour"))
@@ -66,13 +68,13 @@ def _best_of_block(
         return pd.DataFrame({"query": [], "neighbour": [], "cosine": []})
     items = items.sort_values("neighbour", kind="stable")
     keys = items["neighbour"].to_numpy()
-    matrix = _unit(items["embedding"])
+    matrix = unit_rows(items["embedding"])
     found = []
     # A strip of queries at a time keeps the score matrix small.
     for at in range(0, len(asked), 1024):
         strip = asked.iloc[at : at + 1024]
         names = strip["query"].to_numpy()
-        scores = np.round(_unit(strip["embedding"]) @ matrix.T, 9)
+        scores = np.round(unit_rows(strip["embedding"]) @ matrix.T, 9)
         if exclude_self:
             scores[names[:, None] == keys[None, :]] = -np.inf
         take = min(k, len(keys))
@@ -88,7 +90,8 @@ def _best_of_block(
     return out[np.isfinite(out["cosine"])]
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def unit_rows(vectors: Iterable) -> np.ndarray:
+    """Vectors as a matrix of unit rows."""
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(lengths == 0, 1, lengths)

@@ -174,25 +174,30 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 
 def event_counts(stored: DataFrame, parsed: DataFrame) -> DataFrame:
     """Submitted, new and duplicate events; repeats within the load are duplicates."""
-    timed = parsed.where(F.col("watched_at").isNotNull())
-    submitted = timed.agg(F.count(F.lit(1)).alias("submitted"))
-    fresh = missing(
-        timed.select("video_id", "watched_at").distinct(), stored, ["video_id", "watched_at"]
-    ).agg(F.count(F.lit(1)).alias("new_events"))
-    return submitted.join(fresh).select(
-        "submitted", "new_events", (F.col("submitted") - F.col("new_events")).alias("duplicate_events")
+    on = ["video_id", "watched_at"]
+    submitted = (
+        parsed.where(F.col("watched_at").isNotNull())
+        .groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    known = submitted.join(stored.select(*on, F.lit(1).alias("known")), on, "left")
+    return known.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("submitted"),
+        F.count_if(F.col("known").isNull()).alias("new_events"),
+    ).withColumn("duplicate_events", F.col("submitted") - F.col("new_events"))
 
 
 def total_ever_watched(events: DataFrame, log: DataFrame) -> DataFrame:
-    """Stored events plus all removed records of all runs; both sides are one row."""
+    """Stored events plus all removed records of all runs."""
     stored = events.agg(F.count(F.lit(1)).alias("watch_events"))
-    removed = log.agg(
-        F.coalesce(F.sum("removed_dropped"), F.lit(0)).cast("bigint").alias("removed_all_time")
+    removed = log.agg(F.sum("removed_dropped").cast("bigint").alias("removed_all_time"))
+    both = stored.unionByName(removed, allowMissingColumns=True).agg(
+        *[
+            F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("watch_events", "removed_all_time")
+        ]
     )
-    return stored.join(removed).select(
-        "watch_events", "removed_all_time",
-        (F.col("watch_events") + F.col("removed_all_time")).alias("total_ever_watched"),
+    return both.withColumn(
+        "total_ever_watched", F.col("watch_events") + F.col("removed_all_time")
     )
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -24,7 +26,8 @@ from watchloom.functions.text import (
     terms,
     tokens,
 )
-from watchloom.functions.vectors import dot, norm
+from watchloom.functions.vectors import cosine
+from watchloom.operators.neighbours import similar, unit_rows
 from watchloom.operators.ordering import majority, top_n
 from watchloom.operators.upserts import append_assignments, missing
 from watchloom.session import scratch_path
@@ -78,7 +81,9 @@ def fit_topics(
         "cluster int, centroid array<double>",
     )
     placed = model.transform(features).select("video_id", "embedding", F.col("prediction").alias("cluster"))
-    scored = placed.join(_small(centres, k), "cluster").withColumn("cosine", _cosine_to_centre())
+    scored = placed.join(_small(centres, k), "cluster").withColumn(
+        "cosine", cosine(F.col("embedding"), F.col("centroid"))
+    )
     sizes = scored.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("members"),
         F.percentile_approx("cosine", outlier_share, 10_000).alias("radius"),
@@ -99,37 +104,56 @@ def fit_topics(
 def nearest_topic(vectors: DataFrame, topic_map: DataFrame, topics: int) -> DataFrame:
     """Nearest topic of each vector by cosine; NULL beyond the topic's radius.
 
-    All centroids travel as one array, so a vector is compared in one expression and the
-    vectors are neither exploded nor shuffled.
+    While topics are few, their centroids go to every task as one matrix and the vectors stay
+    where they are. Larger maps are compared block by block.
     """
-    if topics > MAX_BROADCAST_TOPICS:
-        raise ValueError(f"more than {MAX_BROADCAST_TOPICS} topics: assign by neighbours instead")
-    packed = topic_map.agg(
-        F.sort_array(F.collect_list(F.struct("topic_id", "centroid", "radius"))).alias("topics")
-    )
-    best = F.aggregate(
-        F.col("topics"),
-        F.struct(
-            F.lit(None).cast("bigint").alias("topic_id"),
-            F.lit(None).cast("double").alias("cosine"),
-            F.lit(None).cast("double").alias("radius"),
-        ),
-        lambda acc, t: F.when(
-            acc["cosine"].isNull()
-            | (_cosine(F.col("embedding"), t["centroid"]) > acc["cosine"]),
-            F.struct(
-                t["topic_id"].alias("topic_id"),
-                _cosine(F.col("embedding"), t["centroid"]).alias("cosine"),
-                t["radius"].alias("radius"),
-            ),
-        ).otherwise(acc),
-    )
-    placed = vectors.join(F.broadcast(packed)).withColumn("best", best)
+    radii = topic_map.select("topic_id", "radius")
+    if topics <= MAX_BROADCAST_TOPICS:
+        best = _nearest_of_matrix(vectors, topic_map)
+        placed = best.join(F.broadcast(radii), "topic_id")
+    else:
+        best = similar(
+            topic_map.select("topic_id", F.col("centroid").alias("embedding")),
+            vectors,
+            1,
+            key="topic_id",
+            query_key="video_id",
+            exclude_self=False,
+        ).select(
+            F.col("query").alias("video_id"), F.col("neighbour").alias("topic_id"), "cosine"
+        )
+        placed = best.join(radii, "topic_id")
     return placed.select(
         "video_id",
-        F.when(F.col("best.cosine") >= F.col("best.radius"), F.col("best.topic_id"))
-        .alias("topic_id"),
-        F.col("best.cosine").alias("cosine"),
+        F.when(F.col("cosine") >= F.col("radius"), F.col("topic_id")).alias("topic_id"),
+        "cosine",
+    )
+
+
+def _nearest_of_matrix(vectors: DataFrame, topic_map: DataFrame) -> DataFrame:
+    """(video_id, topic_id, cosine) of the nearest centroid; ties go to the smaller topic id."""
+    # At most MAX_BROADCAST_TOPICS rows.
+    rows = sorted((r["topic_id"], r["centroid"]) for r in topic_map.collect())
+    ids = np.array([r[0] for r in rows], dtype=np.int64)
+    centroids = unit_rows([r[1] for r in rows])
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, centroids))
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        topic_ids, matrix = shared.value
+        for frame in frames:
+            if frame.empty:
+                continue
+            scores = np.round(unit_rows(frame["embedding"]) @ matrix.T, 9)
+            nearest = scores.argmax(axis=1)
+            yield pd.DataFrame({
+                "video_id": frame["video_id"].to_numpy(),
+                "topic_id": topic_ids[nearest],
+                "cosine": scores[np.arange(len(frame)), nearest],
+            })
+
+    kind = vectors.schema["video_id"].dataType.simpleString()
+    return vectors.select("video_id", "embedding").mapInPandas(
+        place, f"video_id {kind}, topic_id bigint, cosine double"
     )
 
 
@@ -148,16 +172,12 @@ def topic_keywords(
 ) -> DataFrame:
     """Terms that mark a topic: topic, term, weight, rank.
 
-    ``documents`` holds (topic, document). A term is a word or two-word phrase found in at
-    least ``min_documents`` documents. Its weight is its frequency in the topic times
+    ``documents`` holds (topic, doc_key, document). A term is a word or two-word phrase found
+    in at least ``min_documents`` documents. Its weight is its frequency in the topic times
     ln(1 + A / its overall frequency), A being the mean number of terms per topic.
     """
     words = tokens(F.col("document"), stop_words)
-    # One row per distinct term of a document, so that counting sees each document once.
-    per_document = documents.select("topic", F.explode(terms(words)).alias("term"), "doc_key") \
-        if "doc_key" in documents.columns else documents.withColumn(
-            "doc_key", F.monotonically_increasing_id()
-        ).select("topic", F.explode(terms(words)).alias("term"), "doc_key")
+    per_document = documents.select("topic", "doc_key", F.explode(terms(words)).alias("term"))
     counted = per_document.groupBy("topic", "term", "doc_key").agg(F.count(F.lit(1)).alias("n"))
     per_topic = counted.groupBy("topic", "term").agg(
         F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("documents")
@@ -168,12 +188,10 @@ def topic_keywords(
     used = per_topic.select("topic", "term", "frequency").join(
         per_term.select("term", "overall"), "term"
     )
-    mean_terms = used.groupBy("topic").agg(F.sum("frequency").alias("size")).agg(
-        F.avg("size").alias("mean_terms")
-    )
-    weighted = used.join(F.broadcast(mean_terms)).withColumn(
-        "weight",
-        F.round(F.col("frequency") * F.log(1 + F.col("mean_terms") / F.col("overall")), 6),
+    sizes = used.groupBy("topic").agg(F.sum("frequency").alias("size"))
+    mean_terms = sizes.agg(F.avg("size").alias("mean_terms")).scalar()
+    weighted = used.withColumn(
+        "weight", F.round(F.col("frequency") * F.log(1 + mean_terms / F.col("overall")), 6)
     )
     return top_n(
         weighted.select("topic", "term", "weight"),
@@ -350,17 +368,3 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a table with one row per topic while topics are few."""
     return F.broadcast(df) if rows <= MAX_BROADCAST_TOPICS else df
 
-
-def _cosine(a, b):
-    return dot(a, b) / (norm(a) * norm(b))
-
-
-def _cosine_to_centre():
-    return _cosine(F.col("embedding"), F.col("centroid"))
-
-
-__all__ = [
-    "assign_new", "fit_topics", "keyword_lists", "nearest_topic", "remap", "topic_category",
-    "topic_input", "topic_keywords", "topic_labels", "topic_language", "unassigned",
-    "video_language",
-]

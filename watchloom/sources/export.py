@@ -15,15 +15,16 @@ def read_export(spark: SparkSession, path: str | list[str], lines: bool = False)
     Files are read in parallel. ``pos`` grows along a file, so (file_name, pos) is its order.
     """
     raw = spark.read.schema(EXPORT_RECORD).option("multiLine", not lines).json(path)
-    return with_position(raw)
+    return with_position(with_file_name(raw))
+
+
+def with_file_name(raw: DataFrame) -> DataFrame:
+    return raw.select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
 def with_position(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        "*",
-        F.col("_metadata.file_name").alias("file_name"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
+    """Numbers records in reading order; stands directly on the scan."""
+    return raw.withColumn("pos", F.monotonically_increasing_id())
 
 
 def read_metadata(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from watchloom.functions.constants import LOCAL_ZONE
 from watchloom.plans.ingest import ingest
-from watchloom.sources.export import with_position
+from watchloom.sources.export import with_file_name, with_position
 from watchloom.sources.schemas import EXPORT_RECORD
 from watchloom.sources.store import Store
 
@@ -37,10 +37,10 @@ def stream_exports(
     )
 
     def load(batch: DataFrame, epoch: int) -> None:
-        ingest(store, batch, f"batch-{epoch}", zone, now)
+        ingest(store, with_position(batch), f"batch-{epoch}", zone, now)
 
     return (
-        with_position(arriving)
+        with_file_name(arriving)
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

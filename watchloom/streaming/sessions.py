@@ -18,13 +18,11 @@ def viewer_sessions(
 ) -> DataFrame:
     """Sessions per viewer, for a stream or a batch: count, first and last event.
 
-    A gap of exactly ``gap_minutes`` keeps a session open: the window ends after the gap and
-    one microsecond.
+    A gap of exactly ``gap_minutes`` keeps a session open, as in the batch view.
     """
     source = events.withWatermark(ts, watermark) if watermark else events
-    width = f"{gap_minutes * 60_000_000 + 1} microseconds"
     return (
-        source.groupBy(viewer, F.session_window(ts, width).alias("w"))
+        source.groupBy(viewer, F.session_window(ts, f"{gap_minutes} minutes").alias("w"))
         .agg(
             F.count(F.lit(1)).alias("video_count"),
             F.min(ts).alias("session_start"),
