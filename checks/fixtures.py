@@ -25,11 +25,22 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for heavy row work.
+
+        A file with one row group is read by one task; the test tables are such files. A table
+        of as many files as there are cores is left as it is.
+        """
+        df = self.read(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     # -- events ----------------------------------------------------------------------------
 
-    def keyed_events(self) -> DataFrame:
+    def keyed_events(self, spread: bool = False) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("bigint")
-        return self.read("events").withColumn("k", k)
+        df = self.spread("events") if spread else self.read("events")
+        return df.withColumn("k", k)
 
     def events(self) -> DataFrame:
         return self.keyed_events().select(
@@ -142,7 +153,7 @@ class Tables:
 
     def records(self) -> DataFrame:
         """Export records, one per event."""
-        e = self.keyed_events()
+        e = self.keyed_events(spread=True)
         kind = (
             F.when(F.col("event_type") == "error", "ad")
             .when(F.col("event_type") == "signup", "removed")
@@ -176,7 +187,7 @@ class Tables:
 
     def documents(self) -> DataFrame:
         at = F.make_dt_interval(secs=F.col("doc_id").cast("decimal(18,6)"))
-        return self.read("documents").select(
+        return self.spread("documents").select(
             "*",
             F.concat(F.lit("d"), "doc_id").alias("video_id"),
             F.regexp_extract("source", r"(\d+)", 1).cast("bigint").alias("channel_id"),
@@ -210,7 +221,7 @@ class Tables:
         )
 
     def topic_documents(self) -> DataFrame:
-        docs = self.read("documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
+        docs = self.spread("documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
         vectors = self.read("embeddings").select("vec_id", "label")
         return docs.join(vectors, "vec_id").select(
             F.col("label").alias("topic"), F.col("vec_id").alias("doc_key"),

@@ -87,7 +87,9 @@ def daily_summary(t: Tables) -> DataFrame:
 @query
 def monthly_summary(t: Tables) -> DataFrame:
     e = t.order_events()
-    return views.monthly_summary(e, t.dates_of(e), t.as_of(e), since="1995-01-01")
+    out = views.monthly_summary(e, t.dates_of(e), t.as_of(e), since="1995-01-01")
+    average = F.col("avg_videos_per_active_day").cast("double")
+    return out.withColumn("avg_videos_per_active_day", average)
 
 
 @query
@@ -204,29 +206,35 @@ def first_per_video(t: Tables) -> DataFrame:
     return ingest.first_per_video(ingest.parse(t.records()))
 
 
-def _channels_after_two(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _two_loads(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Parsed records of a first export and of the one after it, which repeats the first."""
+    return ingest.kept(ingest.land(t.first_export())), ingest.kept(ingest.land(t.records()))
+
+
+def _channels_after_two(t: Tables, one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Channels after the first export, and after both."""
     empty = t.spark.createDataFrame(
         [], "channel_id bigint, channel_name string, channel_url string"
     )
     columns = ["channel_id", "channel_name", "channel_url"]
-    first = ingest.new_channels(empty, ingest.parse(t.first_export()), 0, _now()).select(*columns)
+    first = ingest.new_channels(empty, one, 0, _now()).select(*columns)
     last = first.agg(F.max("channel_id")).scalar()
-    more = ingest.new_channels(first, ingest.parse(t.records()), last, _now()).select(*columns)
+    more = ingest.new_channels(first, two, last, _now()).select(*columns)
     return first, first.unionByName(more)
 
 
 @query
 def ingest_channels(t: Tables) -> DataFrame:
-    return _channels_after_two(t)[1]
+    return _channels_after_two(t, *_two_loads(t))[1]
 
 
 @query
 def ingest_videos(t: Tables) -> DataFrame:
-    first_channels, channels = _channels_after_two(t)
+    one, two = _two_loads(t)
+    first_channels, channels = _channels_after_two(t, one, two)
     empty = t.spark.createDataFrame([], "video_id string")
-    stored = ingest.new_videos(empty, ingest.parse(t.first_export()), first_channels, _now())
-    more = ingest.new_videos(stored, ingest.parse(t.records()), channels, _now())
+    stored = ingest.new_videos(empty, one, first_channels, _now())
+    more = ingest.new_videos(stored, two, channels, _now())
     return stored.unionByName(more).select(
         "video_id", "title", "title_url", "channel_id", "status", "has_transcript"
     )
@@ -234,18 +242,19 @@ def ingest_videos(t: Tables) -> DataFrame:
 
 @query
 def ingest_events(t: Tables) -> DataFrame:
-    first_channels, channels = _channels_after_two(t)
+    one, two = _two_loads(t)
+    first_channels, channels = _channels_after_two(t, one, two)
     empty = t.spark.createDataFrame([], "video_id string, watched_at timestamp_ntz")
-    stored = ingest.new_events(empty, ingest.parse(t.first_export()), first_channels, 0)
+    stored = ingest.new_events(empty, one, first_channels, 0)
     last = stored.agg(F.max("event_id")).scalar()
-    more = ingest.new_events(stored, ingest.parse(t.records()), channels, last)
+    more = ingest.new_events(stored, two, channels, last)
     return stored.unionByName(more)
 
 
 @query
 def ingest_counts(t: Tables) -> DataFrame:
-    stored = ingest.parse(t.first_export()).select("video_id", "watched_at").distinct()
-    return ingest.event_counts(stored, ingest.parse(t.records()))
+    one, two = _two_loads(t)
+    return ingest.event_counts(one.select("video_id", "watched_at").distinct(), two)
 
 
 @query
@@ -409,7 +418,9 @@ def enrichment_batches(t: Tables) -> DataFrame:
 
 @query
 def field_coverage(t: Tables) -> DataFrame:
-    return enrichment.field_coverage(_enriched(t))
+    return enrichment.field_coverage(_enriched(t)).withColumn(
+        "coverage", F.col("coverage").cast("double")
+    )
 
 
 # -- text and vectors ----------------------------------------------------------------------
@@ -505,7 +516,7 @@ def channel_language_review(t: Tables) -> DataFrame:
     channels = t.doc_channels()
     funnel = views.channel_funnel(t.doc_events(), channels)
     answers = F.when(F.col("channel_id") % 3 == 0, "Code: fr").when(
-        F.col("channel_id") % 3 == 1, "it is xx"
+        F.col("channel_id") % 3 == 1, "xx, or it"
     )
     guesses = channels.select("channel_id", answers.alias("answer"))
     return language.channel_language_review(channels, funnel, _titles(t), guesses)

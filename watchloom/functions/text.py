@@ -22,23 +22,63 @@ from watchloom.functions.constants import (
 )
 
 # Every whitespace character, the four ASCII separators included.
-_SPACE = r"[\s\x1c-\x1f]"
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACE_RUN = r"(?U)[\s\x1c-\x1f]{2,}"
+
+# A pattern can only match a text that holds one of these, so most texts skip the expression.
+_URL_HINTS = ("http", "www.")
+_CLOCK_HINTS = (":",)
+_HASHTAG_HINTS = ("#",)
+_CALL_HINTS = (
+    "subscribe", "the bell", "turn on notifications", "follow us", "join the channel",
+    "support us on patreon", "check out our merch", "link in ", "use code ", "affiliate link",
+    "sponsored",
+)
+_SOCIAL_HINTS = (
+    "instagram", "twitter", "tiktok", "facebook", "twitch", "discord", "reddit", "linkedin",
+    "snapchat",
+)
 
 
 def strip(c: Column) -> Column:
     """Trim all kinds of whitespace, not only spaces."""
-    return F.regexp_replace(c, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def clean_description(c: Column) -> Column:
-    """Description without addresses, clock times, hashtags, calls to action and handles."""
+    """Description without addresses, clock times, hashtags, calls to action and handles.
+
+    Each step is a lambda over a one-element array, so its input is worked out once.
+    """
     text = F.coalesce(c, F.lit(""))
-    for pattern in (URL_PATTERN, CLOCK_PATTERN, HASHTAG_PATTERN):
-        text = F.regexp_replace(text, f"(?U){pattern}", " ")
-    for pattern in (CALL_TO_ACTION_PATTERN, SOCIAL_PATTERN):
-        text = F.regexp_replace(text, f"(?iuU){pattern}", " ")
-    text = F.regexp_replace(text, rf"(?U){_SPACE}{{2,}}", " ")
-    return F.substring(strip(text), 1, DESCRIPTION_CHARS)
+    # Outside ASCII there are letters that ignoring case treats as i, k or s.
+    folded = F.translate(text, "\u0130\u0131\u212a\u017f", "iiks")
+    plain = F.lower(F.when(F.octet_length(text) > F.length(text), folded).otherwise(text))
+    steps = F.array(F.struct(text.alias("text"), plain.alias("plain")))
+    for pattern, hints, flags in (
+        (URL_PATTERN, _URL_HINTS, "U"),
+        (CLOCK_PATTERN, _CLOCK_HINTS, "U"),
+        (HASHTAG_PATTERN, _HASHTAG_HINTS, "U"),
+        (CALL_TO_ACTION_PATTERN, _CALL_HINTS, "iuU"),
+        (SOCIAL_PATTERN, _SOCIAL_HINTS, "iuU"),
+    ):
+        steps = F.transform(steps, _remover(f"(?{flags}){pattern}", hints))
+    text = F.get(steps, F.lit(0))["text"]
+    return F.substring(strip(F.regexp_replace(text, _SPACE_RUN, " ")), 1, DESCRIPTION_CHARS)
+
+
+def _remover(pattern: str, hints: Sequence[str]):
+    def step(x: Column) -> Column:
+        possible = F.lit(False)
+        for hint in hints:
+            possible = possible | F.contains(x["plain"], F.lit(hint))
+        text = F.when(possible, F.regexp_replace(x["text"], pattern, " ")).otherwise(x["text"])
+        return F.struct(text.alias("text"), x["plain"].alias("plain"))
+
+    return step
 
 
 def input_text(title: Column, tags: Column, description: Column) -> Column:
@@ -47,19 +87,19 @@ def input_text(title: Column, tags: Column, description: Column) -> Column:
     A blank title or a list of blank tags still adds an empty part.
     """
     kept_tags = F.filter(F.transform(tags, strip), lambda t: t != "")
-    cleaned = clean_description(description)
-    parts = F.array(
+    named = F.array(
         F.when(title != "", strip(title)),
         F.when(F.size(tags) > 0, F.array_join(kept_tags, ", ")),
-        F.when(cleaned != "", cleaned),
     )
-    return F.array_join(F.array_compact(parts), ". ")
+    described = F.array_remove(F.array(clean_description(description)), "")
+    return F.array_join(F.concat(F.array_compact(named), described), ". ")
 
 
 def script_language(c: Column) -> Column:
     """Language given away by letters or script; NULL when none is."""
     hits = [F.when(c.rlike(pattern), code) for code, pattern in SCRIPT_PATTERNS]
-    return F.coalesce(*hits)
+    # All of them are outside ASCII, where a character takes more than one byte.
+    return F.when(F.octet_length(c) > F.length(c), F.coalesce(*hits))
 
 
 def parse_language_answer(c: Column) -> Column:
@@ -96,17 +136,25 @@ def document_or_unknown(c: Column) -> Column:
 
 def tokens(c: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Lower-case words of two or more characters without stop words."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))
+    words = F.split(F.lower(c), r"(?U)\W+")
     stop = list(stop_words)
-    return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
+    return F.filter(
+        words, lambda w: (F.length(w) > 1) & (~w.isin(stop) if stop else F.lit(True))
+    )
 
 
 def terms(words: Column) -> Column:
     """The words and their two-word phrases, repeats kept."""
-    phrases = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(words, phrases)
+
+    def with_phrases(w: Column) -> Column:
+        pairs = F.greatest(F.size(w) - 1, F.lit(0))
+        phrases = F.zip_with(
+            F.slice(w, F.lit(1), pairs),
+            F.slice(w, F.lit(2), pairs),
+            lambda a, b: F.concat(a, F.lit(" "), b),
+        )
+        return F.concat(w, phrases)
+
+    # As a lambda argument the words are worked out once.
+    return F.flatten(F.transform(F.array(words), with_phrases))
 

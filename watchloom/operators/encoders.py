@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.functions.constants import EMBEDDING_DIM, ENCODE_BATCH
+from watchloom.functions.text import strip
+
+
+# Error of a text with nothing to encode.
+NO_TEXT = "no text"
 
 
 class Encoder(Protocol):
@@ -21,7 +26,10 @@ class Encoder(Protocol):
     version: str
 
     def encode(self, texts: DataFrame) -> DataFrame:
-        """(video_id, text) → (video_id, embedding array<float>, error string)."""
+        """(video_id, text) → (video_id, embedding array<float>, error string).
+
+        A blank text has no embedding and the error ``NO_TEXT``.
+        """
         ...
 
 
@@ -56,10 +64,11 @@ class HashedTermsEncoder:
         return cls(PipelineModel.load(path))
 
     def encode(self, texts: DataFrame) -> DataFrame:
+        blank = strip(F.col("text")) == ""
         return self.model.transform(texts).select(
             "video_id",
-            vector_to_array("_unit", "float32").alias("embedding"),
-            F.lit(None).cast("string").alias("error"),
+            F.when(~blank, vector_to_array("_unit", "float32")).alias("embedding"),
+            F.when(blank, NO_TEXT).alias("error"),
         )
 
 
@@ -96,14 +105,18 @@ class BatchEncoder:
 
 
 def _encode_part(part: pd.DataFrame, encode_texts) -> pd.DataFrame:
-    out = pd.DataFrame({"video_id": part["video_id"].to_numpy()})
+    out = pd.DataFrame({"video_id": part["video_id"].to_numpy(), "embedding": None, "error": NO_TEXT})
+    filled = part["text"].str.strip().to_numpy() != ""
+    if not filled.any():
+        return out
     try:
-        vectors = np.asarray(encode_texts(part["text"].tolist()), dtype=np.float64)
+        texts = part["text"][filled].tolist()
+        vectors = np.asarray(encode_texts(texts), dtype=np.float64)
         lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
         unit = (vectors / np.where(lengths == 0, 1, lengths)).astype(np.float32)
-        out["embedding"] = list(unit)
-        out["error"] = None
+        out.loc[filled, "error"] = None
+        rows = iter(unit)
+        out["embedding"] = [next(rows) if f else None for f in filled]
     except Exception as failure:  # a batch may fail for any reason of the plugged-in model
-        out["embedding"] = None
-        out["error"] = f"{type(failure).__name__}: {failure}"
+        out.loc[filled, "error"] = f"{type(failure).__name__}: {failure}"
     return out

@@ -38,6 +38,8 @@ def rows_before(
 ) -> DataFrame:
     """Adds ``_before``: the sum of ``value`` over all earlier leaves of the same keys."""
     keys, outer, inner = list(keys), list(outer), list(inner)
+    # Said on both branches, so that they share one shuffle of the leaves.
+    leaves = leaves.dropna(subset=keys + outer + inner)
     totals = leaves.groupBy(*keys, *outer).agg(F.sum(value).alias("_total"))
     among_outer = Window.partitionBy(*keys).orderBy(*outer).rowsBetween(
         Window.unboundedPreceding, -1

@@ -8,10 +8,10 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.functions.text import input_text, strip
-from watchloom.operators.encoders import Encoder
+from watchloom.functions.text import input_text
+from watchloom.operators.encoders import NO_TEXT, Encoder
 from watchloom.operators.upserts import flag_failed, missing, upsert_embeddings
-from watchloom.session import scratch_path
+from watchloom.session import materialize
 from watchloom.sources.store import Store
 
 
@@ -29,13 +29,7 @@ def video_texts(videos: DataFrame) -> DataFrame:
 
 def embed(texts: DataFrame, encoder: Encoder) -> DataFrame:
     """(video_id, embedding, error): blank texts are reported as errors, not encoded."""
-    blank = strip(F.col("text")) == ""
-    skipped = texts.where(blank).select(
-        "video_id",
-        F.lit(None).cast("array<float>").alias("embedding"),
-        F.lit("no text").alias("error"),
-    )
-    return encoder.encode(texts.where(~blank)).unionByName(skipped)
+    return encoder.encode(texts).select("video_id", "embedding", "error")
 
 
 def embed_videos(
@@ -49,9 +43,7 @@ def embed_videos(
     todo = video_texts(candidates(store.read("dim_videos"), old))
 
     # Encoding is the expensive step: keep its result in the shared folder and read it twice.
-    path = scratch_path(store.spark, "vectors")
-    embed(todo, encoder).write.parquet(path)
-    done = store.spark.read.parquet(path)
+    done = materialize(embed(todo, encoder), "vectors")
 
     fresh = done.where("error is null").select(
         "video_id", "embedding",
@@ -66,8 +58,8 @@ def embed_videos(
     tally = done.agg(
         F.count(F.lit(1)).alias("targeted"),
         F.count_if(F.col("error").isNull()).alias("embedded"),
-        F.count_if(F.col("error") == "no text").alias("skipped"),
-        F.count_if(F.col("error") != "no text").alias("failed"),
+        F.count_if(F.col("error") == NO_TEXT).alias("skipped"),
+        F.count_if(F.col("error") != NO_TEXT).alias("failed"),
     ).first().asDict()
     log = store.spark.createDataFrame(
         [(at, encoder.name, encoder.version, tally["targeted"], tally["embedded"],

@@ -6,7 +6,7 @@ import time
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from watchloom.functions import records as R
@@ -14,7 +14,7 @@ from watchloom.functions.calendar import local_date
 from watchloom.functions.constants import LOCAL_ZONE
 from watchloom.operators.ordering import number_rows
 from watchloom.operators.upserts import missing
-from watchloom.session import scratch_path
+from watchloom.session import materialize, together
 from watchloom.sources.export import read_export
 from watchloom.sources.store import Store
 
@@ -29,16 +29,25 @@ def classify(raw: DataFrame) -> DataFrame:
     )
 
 
-def class_counts(classified: DataFrame) -> DataFrame:
-    """Records per class in one pass."""
+def _class_counters() -> list[Column]:
     kind = F.col("record_class")
-    return classified.agg(
+    return [
         F.count(F.lit(1)).alias("total_raw_records"),
         F.count_if(kind == "ad").alias("ads_filtered"),
         F.count_if(kind == "removed").alias("removed_dropped"),
         F.count_if(kind == "ghost").alias("ghost_videos_kept"),
         F.count_if(kind == "clean").alias("clean_records"),
-    )
+    ]
+
+
+CLASS_COUNTERS = [
+    "total_raw_records", "ads_filtered", "removed_dropped", "ghost_videos_kept", "clean_records",
+]
+
+
+def class_counts(classified: DataFrame) -> DataFrame:
+    """Records per class in one pass."""
+    return classified.agg(*_class_counters())
 
 
 def extract(classified: DataFrame) -> DataFrame:
@@ -65,7 +74,18 @@ def kept(extracted: DataFrame) -> DataFrame:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    return kept(extract(classify(raw))).drop("record_class")
+    """Fields of the records that are kept, without a stored intermediate."""
+    wanted = raw.where(~R.is_ad(F.col("details")) & ~R.is_removed(F.col("titleUrl")))
+    kind = F.when(R.is_ghost(F.col("title")), "ghost").otherwise("clean")
+    return kept(extract(wanted.withColumn("record_class", kind))).drop("record_class")
+
+
+def land(raw: DataFrame) -> DataFrame:
+    """Classifies and extracts all records into a table in the shared folder, and reads it back.
+
+    A load needs the records several times; parsing them is the expensive part.
+    """
+    return materialize(extract(classify(raw)), "records")
 
 
 def _place():
@@ -227,45 +247,43 @@ def ingest(
     at = now or datetime.now(UTC).replace(tzinfo=None)
     stamp = F.lit(at).cast("timestamp_ntz")
 
-    landing = scratch_path(spark, "records")
-    extract(classify(raw)).write.parquet(landing)
-    extracted = spark.read.parquet(landing)
-    parsed = kept(extracted)
-    counts = class_counts(extracted).first()
-
+    before = store.folders()
     channels, videos, events = (
-        store.read(t) for t in ("dim_channels", "dim_videos", "fact_watch_events")
+        store.read(t, before) for t in ("dim_channels", "dim_videos", "fact_watch_events")
+    )
+    extracted = land(raw)
+    parsed = kept(extracted)
+    profile, last_channel, last_event = together(
+        lambda: _profile(extracted, zone),
+        lambda: _last(channels, "channel_id"),
+        lambda: _last(events, "event_id"),
     )
-    profile = parsed.agg(
-        F.count_if(F.col("watched_at").isNotNull()).alias("submitted"),
-        F.min(local_date("watched_at", zone)).alias("first_day"),
-        F.max(local_date("watched_at", zone)).alias("last_day"),
-    ).first()
     # Only folders of days the load touches can hold duplicates of it.
     overlap = events.where(
         F.col("local_date").between(F.lit(profile["first_day"]), F.lit(profile["last_day"]))
     )
 
-    channel_folder = store.stage(
-        "dim_channels", new_channels(channels, parsed, _last(channels, "channel_id"), stamp)
-    )
+    channel_folder = store.stage("dim_channels", new_channels(channels, parsed, last_channel, stamp))
     added_channels = store.staged("dim_channels", channel_folder)
     all_channels = channels.unionByName(added_channels)
-    video_folder = store.stage("dim_videos", new_videos(videos, parsed, all_channels, stamp))
-    event_folder = store.stage(
-        "fact_watch_events",
-        new_events(overlap, parsed, all_channels, _last(events, "event_id"), zone),
+    video_folder, event_folder, quarantine_folder = together(
+        lambda: store.stage("dim_videos", new_videos(videos, parsed, all_channels, stamp)),
+        lambda: store.stage(
+            "fact_watch_events", new_events(overlap, parsed, all_channels, last_event, zone)
+        ),
+        lambda: store.stage("quarantine_events", quarantine(parsed)),
+    )
+    added = together(
+        added_channels.count,
+        store.staged("dim_videos", video_folder).count,
+        store.staged("fact_watch_events", event_folder).count,
     )
-    quarantine_folder = store.stage("quarantine_events", quarantine(parsed))
-
-    added = {
-        "new_channels": added_channels.count(),
-        "new_videos": store.staged("dim_videos", video_folder).count(),
-        "new_events": store.staged("fact_watch_events", event_folder).count(),
-    }
     result = IngestResult(
-        **counts.asDict(), **added,
-        duplicate_events=profile["submitted"] - added["new_events"],
+        **{c: profile[c] for c in CLASS_COUNTERS},
+        new_channels=added[0],
+        new_videos=added[1],
+        new_events=added[2],
+        duplicate_events=profile["submitted"] - added[2],
     )
     log = spark.createDataFrame(
         [(file_name, at, *vars(result).values(), round(time.monotonic() - began, 2))],
@@ -285,10 +303,34 @@ def ingest(
     return result
 
 
-def ingest_files(store: Store, path: str | list[str], name: str | None = None, **options) -> IngestResult:
+def ingest_files(
+    store: Store, path: str | list[str], name: str | None = None, lines: bool = False, **options
+) -> IngestResult:
     """Load one or many export files."""
     label = name or (path if isinstance(path, str) else ",".join(path)).rsplit("/", 1)[-1]
-    return ingest(store, read_export(store.spark, path), label, **options)
+    return ingest(store, read_export(store.spark, path, lines), label, **options)
+
+
+def _profile(extracted: DataFrame, zone: str) -> Row:
+    """Class counters, events submitted and the days they cover, in one pass."""
+    loaded = (
+        F.col("record_class").isin("clean", "ghost")
+        & F.col("video_id").isNotNull()
+        & F.col("watched_at").isNotNull()
+    )
+    at = F.when(loaded, F.col("watched_at"))
+    seen = extracted.agg(
+        *_class_counters(),
+        F.count_if(loaded).alias("submitted"),
+        F.min(at).alias("first_at"),
+        F.max(at).alias("last_at"),
+    )
+    return seen.select(
+        *CLASS_COUNTERS,
+        "submitted",
+        local_date("first_at", zone).alias("first_day"),
+        local_date("last_at", zone).alias("last_day"),
+    ).first()
 
 
 def _last(table: DataFrame, column: str) -> int:

@@ -10,7 +10,7 @@ from watchloom.functions.constants import LOCAL_ZONE, SESSION_GAP_MINUTES
 from watchloom.operators.activity import activity
 from watchloom.operators.sessions import session_summary
 from watchloom.plans import views
-from watchloom.session import scratch_path
+from watchloom.session import materialize
 from watchloom.sources.dims import dim_date
 from watchloom.sources.store import Store
 
@@ -32,9 +32,7 @@ def refresh_all(
     events = store.read("fact_watch_events")
     channels = store.read("dim_channels")
     dates = dim_date(spark, start, end)
-    path = scratch_path(spark, "activity")
-    activity(events, zone).write.parquet(path)
-    base = spark.read.parquet(path)
+    base = materialize(activity(events, zone), "activity")
     built = {
         "mv_daily_summary": views.daily_summary(events, dates, as_of, zone, base),
         "mv_monthly_summary": views.monthly_summary(events, dates, as_of, start, zone, base),

@@ -30,7 +30,7 @@ from watchloom.functions.vectors import cosine
 from watchloom.operators.neighbours import similar, unit_rows
 from watchloom.operators.ordering import majority, top_n
 from watchloom.operators.upserts import append_assignments, missing
-from watchloom.session import scratch_path
+from watchloom.session import materialize
 from watchloom.sources.store import Store
 
 MODEL_NAME = "kmeans-cosine"
@@ -182,11 +182,12 @@ def topic_keywords(
     per_topic = counted.groupBy("topic", "term").agg(
         F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("documents")
     )
-    per_term = per_topic.groupBy("term").agg(
-        F.sum("frequency").alias("overall"), F.sum("documents").alias("documents")
-    ).where(F.col("documents") >= min_documents)
-    used = per_topic.select("topic", "term", "frequency").join(
-        per_term.select("term", "overall"), "term"
+    # A term has at most one row per topic, so its window is no larger than the topic list.
+    of_term = Window.partitionBy("term")
+    used = (
+        per_topic.withColumn("overall", F.sum("frequency").over(of_term))
+        .withColumn("documents", F.sum("documents").over(of_term))
+        .where(F.col("documents") >= min_documents)
     )
     sizes = used.groupBy("topic").agg(F.sum("frequency").alias("size"))
     mean_terms = sizes.agg(F.avg("size").alias("mean_terms")).scalar()
@@ -255,14 +256,12 @@ def remap(
     at = now or datetime.now(UTC).replace(tzinfo=None)
     spark = store.spark
     categories = store.read("dim_categories")
-    path = scratch_path(spark, "topic-input")
     videos = store.read("dim_videos")
-    topic_input(store.read("nlp_embeddings"), videos, categories).write.parquet(path)
-    base = spark.read.parquet(path)
+    base = materialize(
+        topic_input(store.read("nlp_embeddings"), videos, categories), "topic-input"
+    )
     assigned, topic_map = fit_topics(base.select("video_id", "embedding"), k, min_size)
-    assigned_path = scratch_path(spark, "topic-assigned")
-    assigned.write.parquet(assigned_path)
-    assigned = spark.read.parquet(assigned_path)
+    assigned = materialize(assigned, "topic-assigned")
 
     members = assigned.where("model_topic >= 0").join(
         base.select("video_id", "category_id", "document"), "video_id"
@@ -282,9 +281,7 @@ def remap(
         # One row per topic.
         "topic_id", F.lit(last) + F.row_number().over(Window.orderBy("topic"))
     )
-    topics_path = scratch_path(spark, "topics")
-    numbered.write.parquet(topics_path)
-    numbered = spark.read.parquet(topics_path)
+    numbered = materialize(numbered, "topics")
 
     ids = numbered.select(F.col("topic").alias("model_topic"), "topic_id")
     assignments = (
@@ -337,9 +334,7 @@ def assign_new(store: Store, now: datetime | None = None) -> dict[str, int]:
         raise ValueError("there is no topic map yet: run a remap first")
     old = store.read("nlp_video_topics")
     todo = unassigned(store.read("nlp_embeddings"), store.read("dim_videos"), old)
-    path = scratch_path(store.spark, "nearest-topic")
-    nearest_topic(todo, topic_map, topics).write.parquet(path)
-    placed = store.spark.read.parquet(path)
+    placed = materialize(nearest_topic(todo, topic_map, topics), "nearest-topic")
     fresh = append_assignments(old, placed.where("topic_id is not null"))
     tally = placed.agg(
         F.count(F.lit(1)).alias("processed"), F.count("topic_id").alias("assigned")
@@ -367,4 +362,3 @@ def _log(store: Store, at: datetime, mode: str, result: dict[str, int], began: f
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a table with one row per topic while topics are few."""
     return F.broadcast(df) if rows <= MAX_BROADCAST_TOPICS else df
-

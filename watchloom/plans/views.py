@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from watchloom.functions.calendar import local_date, local_hour, local_ts, span_days
 from watchloom.functions.constants import LOCAL_ZONE
 from watchloom.functions.stages import funnel_stage, safe_ratio
-from watchloom.operators.activity import activity, with_local_date
+from watchloom.operators.activity import activity
 from watchloom.operators.ordering import HOT_GROUP_ROWS, rank_by_time
 
 _DAY_COLUMNS = [
@@ -35,19 +35,21 @@ def watch_history(
         "video_id", "title", "title_url", "status", "category_name"
     )
     days = dates.withColumnRenamed("date_key", "local_date")
+    local = local_ts("watched_at", zone).alias("watched_at_dk")
     joined = (
-        with_local_date(events.select("event_id", "video_id", "channel_id", "watched_at"), zone)
+        events.select("event_id", "video_id", "channel_id", local)
+        .withColumn("local_date", F.to_date("watched_at_dk"))
         .join(described, "video_id")
         .join(channels.select("channel_id", "channel_name", "channel_url"), "channel_id", "left")
         .join(days, "local_date", "left")
     )
     return joined.select(
         "event_id",
-        local_ts("watched_at", zone).alias("watched_at_dk"),
+        "watched_at_dk",
         "video_id", "title", "title_url", "status",
         "channel_name", "channel_url", "category_name",
         *_DAY_COLUMNS,
-        local_hour("watched_at", zone).alias("hour"),
+        F.hour("watched_at_dk").alias("hour"),
     )
 
 
