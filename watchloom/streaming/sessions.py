@@ -20,13 +20,15 @@ def viewer_sessions(
 
     A gap of exactly ``gap_minutes`` keeps a session open, as in the batch view.
     """
-    source = events.withWatermark(ts, watermark) if watermark else events
+    # A watermark needs an instant; the session zone is UTC, so the two casts are inverse.
+    instants = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    source = instants.withWatermark(ts, watermark) if watermark else instants
     return (
         source.groupBy(viewer, F.session_window(ts, f"{gap_minutes} minutes").alias("w"))
         .agg(
             F.count(F.lit(1)).alias("video_count"),
-            F.min(ts).alias("session_start"),
-            F.max(ts).alias("session_end"),
+            F.min(ts).cast("timestamp_ntz").alias("session_start"),
+            F.max(ts).cast("timestamp_ntz").alias("session_end"),
         )
         .drop("w")
     )
