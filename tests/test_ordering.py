@@ -58,10 +58,27 @@ def naive_sessions(events, gap):
     return flagged.withColumn("session_id", F.sum("f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+@pytest.fixture(scope="module")
+def crowded(spark, events):
+    """A third of all events in one second, half of those at one time."""
+    rows = [(10_000 + i * 40_000, "v1", 1, T0 + timedelta(hours=9, microseconds=(i % 2) * (i % 97))) for i in range(1500)]
+    return events.unionByName(spark.createDataFrame(rows, events.schema)).repartition(5)
+
+
+@pytest.mark.parametrize("hot_rows", [3, 200])
+def test_rank_with_a_crowded_second(crowded, hot_rows):
+    test_rank_by_time_equals_window(crowded, "channel_id", hot_rows)
+
+
+@pytest.mark.parametrize("hot_rows", [2, 100, 10**9])
+def test_sessions_with_a_crowded_second(crowded, hot_rows):
+    test_sessions_equal_naive_window(crowded, 10, hot_rows)
+
+
 @pytest.mark.parametrize("gap", [1, 10, 45])
-def test_sessions_equal_naive_window(events, gap):
+def test_sessions_equal_naive_window(events, gap, hot_rows=10**9):
     want = naive_sessions(events, gap)
-    got = sessions(events, gap)
+    got = sessions(events, gap, hot_rows=hot_rows)
     pick = ["event_id", "session_id"]
     assert sorted(got.select(*pick).collect()) == sorted(want.select(*pick).collect())
     gaps = {r.event_id: r.g for r in want.collect()}
@@ -87,14 +104,19 @@ def test_gap_smaller_than_leaf_is_refused(events):
         sessions(events, gap_minutes=0.001)
 
 
-def test_transitions_equal_naive(events):
+@pytest.mark.parametrize("hot_rows", [2, 100])
+def test_transitions_with_a_crowded_second(crowded, hot_rows):
+    test_transitions_equal_naive(crowded, hot_rows)
+
+
+def test_transitions_equal_naive(events, hot_rows=10**9):
     order = Window.partitionBy("session_id").orderBy("watched_at", "event_id")
     want = (
         naive_sessions(events, 45).withColumn("p", F.lag("channel_id").over(order))
         .where("p is not null and channel_id is not null")
         .groupBy("p", "channel_id").count()
     )
-    assert sorted(tuple(r) for r in transitions(events).collect()) == sorted(tuple(r) for r in want.collect())
+    assert sorted(tuple(r) for r in transitions(events, hot_rows=hot_rows).collect()) == sorted(tuple(r) for r in want.collect())
 
 
 def single_partition_inputs(df) -> list[str]:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 HOT_GROUP_ROWS = 2_000_000
 # At most this many groups are treated as hot; that bounds the broadcast list.
 MAX_HOT_GROUPS = 50_000
+# Integers in one run of a tie-break.
+_TIES_PER_RUN = 65_536
 
 
 def second_leaf(ts: Column) -> list[Column]:
@@ -33,29 +35,42 @@ def time_leaf(ts: Column, grain_seconds: int) -> list[Column]:
     return [F.floor(leaf / 3600).alias("_hour"), leaf.alias("_leaf")]
 
 
+def tie_runs(ts: str, tie: str, full: Column) -> dict[str, Column]:
+    """Parts of a leaf that is ``full``: its single times, and runs of an integer tie-break."""
+    return {
+        "_at": F.when(full, F.unix_micros(F.col(ts).cast("timestamp"))).otherwise(-1),
+        "_run": F.when(full, F.floor(F.col(tie) / _TIES_PER_RUN)).otherwise(-1),
+    }
+
+
 def rows_before(
-    leaves: DataFrame, keys: Sequence[str], outer: Sequence[str], inner: Sequence[str], value: str
+    leaves: DataFrame, keys: Sequence[str], levels: Sequence[Sequence[str]], value: str
 ) -> DataFrame:
-    """Adds ``_before``: the sum of ``value`` over all earlier leaves of the same keys."""
-    keys, outer, inner = list(keys), list(outer), list(inner)
-    # Said on both branches, so that they share one shuffle of the leaves.
-    leaves = leaves.dropna(subset=keys + outer + inner)
-    totals = leaves.groupBy(*keys, *outer).agg(F.sum(value).alias("_total"))
-    among_outer = Window.partitionBy(*keys).orderBy(*outer).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    within_outer = Window.partitionBy(*keys, *outer).orderBy(*inner).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    bases = totals.select(
-        *keys, *outer, F.coalesce(F.sum("_total").over(among_outer), F.lit(0)).alias("_base")
-    )
-    return (
-        leaves.withColumn("_inside", F.coalesce(F.sum(value).over(within_outer), F.lit(0)))
-        .join(bases, keys + outer)
-        .withColumn("_before", F.col("_base") + F.col("_inside"))
-        .drop("_base", "_inside")
-    )
+    """Adds ``_before``: the sum of ``value`` over all earlier leaves of the same keys.
+
+    ``levels`` are the columns of the ordering from coarse to fine; sums run within one
+    stretch of the level above, so no window is larger than the stretches it spans.
+    """
+    keys = list(keys)
+    every = keys + [c for level in levels for c in level]
+    # Said on all branches, so that they share one shuffle of the leaves.
+    out = leaves = leaves.dropna(subset=every)
+    parent, sums = keys, []
+    for depth, level in enumerate(levels):
+        here = parent + list(level)
+        name = f"_sum{depth}"
+        earlier = Window.partitionBy(*parent).orderBy(*level).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        if depth == len(levels) - 1:
+            out = out.withColumn(name, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
+        else:
+            totals = leaves.groupBy(*here).agg(F.sum(value).alias("_total"))
+            offsets = totals.select(*here, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias(name))
+            out = out.join(offsets, here)
+        sums.append(name)
+        parent = here
+    return out.withColumn("_before", sum((F.col(n) for n in sums[1:]), F.col(sums[0]))).drop(*sums)
 
 
 def number_rows(
@@ -72,7 +87,7 @@ def number_rows(
     """
     leaf = [*outer, *inner]
     counts = df.groupBy(*leaf).agg(F.count(F.lit(1)).alias("_n"))
-    before = rows_before(counts, [], outer, inner, "_n").select(*leaf, "_before")
+    before = rows_before(counts, [], [outer, inner], "_n").select(*leaf, "_before")
     inside = F.row_number().over(Window.partitionBy(*leaf).orderBy(*order))
     first = start if isinstance(start, Column) else F.lit(start)
     return (
@@ -101,9 +116,11 @@ def rank_by_time(
     """Row number per ``key`` along (ts, tie); NULL keys form one group.
 
     Ordinary groups are one window partition each. Groups above ``hot_rows`` are cut into
-    seconds, so a key with a large share of all rows is spread over many tasks.
+    seconds, and their seconds above ``hot_rows`` into single times and runs of the integer
+    ``tie``, so that neither a key nor a time with a large share of all rows is one task.
     """
     group = ["_key", "_no_key"]
+    fine = ["_at", "_run"]
     hour, leaf = second_leaf(F.col(ts))
     keyed = df.withColumns(
         {
@@ -111,25 +128,31 @@ def rank_by_time(
             "_no_key": F.col(key).isNull(),
         }
     )
-    # No more than MAX_HOT_GROUPS rows, so the broadcast stays small.
+    # Neither list has more than MAX_HOT_GROUPS rows, so the broadcasts stay small.
     hot = hot_groups(keyed, group, hot_rows).withColumn("_hot", F.lit(True))
     marked = keyed.join(F.broadcast(hot), group, "left").withColumns(
-        {"_hour": F.when(F.col("_hot"), hour), "_leaf": F.coalesce(F.when(F.col("_hot"), leaf), F.lit(-1))}
+        {"_hour": F.when(F.col("_hot"), hour), "_leaf": F.when(F.col("_hot"), leaf)}
+    )
+    full = hot_groups(marked.where("_hot"), [*group, "_leaf"], hot_rows).withColumn(
+        "_full", F.lit(True)
+    )
+    placed = marked.join(F.broadcast(full), [*group, "_leaf"], "left").withColumns(
+        {"_leaf": F.coalesce("_leaf", F.lit(-1)), **tie_runs(ts, tie, F.col("_full"))}
     )
     counts = (
-        marked.where("_hot")
-        .groupBy(*group, "_hour", "_leaf")
+        placed.where("_hot")
+        .groupBy(*group, "_hour", "_leaf", *fine)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    before = rows_before(counts, group, ["_hour"], ["_leaf"], "_n").select(
-        *group, "_leaf", "_before"
+    before = rows_before(counts, group, [["_hour"], ["_leaf"], fine], "_n").select(
+        *group, "_leaf", *fine, "_before"
     )
-    inside = F.row_number().over(Window.partitionBy(*group, "_leaf").orderBy(ts, tie))
+    inside = F.row_number().over(Window.partitionBy(*group, "_leaf", *fine).orderBy(ts, tie))
     return (
-        marked.withColumn("_inside", inside)
-        .join(before, [*group, "_leaf"], "left")
+        placed.withColumn("_inside", inside)
+        .join(before, [*group, "_leaf", *fine], "left")
         .withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_inside")).cast("bigint"))
-        .drop(*group, "_hot", "_hour", "_leaf", "_before", "_inside")
+        .drop(*group, "_hot", "_full", "_hour", "_leaf", *fine, "_before", "_inside")
     )
 
 
