@@ -21,6 +21,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = prepare(spark)
         self.dir = str(sf_dir).rstrip("/")
+        self._spans: list[tuple[DataFrame, tuple[date, date]]] = []
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -138,11 +139,14 @@ class Tables:
         first, last = self.days_of(events)
         return dim_date(self.spark, date(first.year, 1, 1), date(last.year, 12, 31))
 
-    @staticmethod
-    def days_of(events: DataFrame) -> tuple[date, date]:
+    def days_of(self, events: DataFrame) -> tuple[date, date]:
         """First and last local day of the events."""
+        for known, days in self._spans:
+            if known is events:
+                return days
         span = events.agg(F.min("watched_at").alias("a"), F.max("watched_at").alias("b"))
         row = span.select(local_date("a").alias("a"), local_date("b").alias("b")).first()
+        self._spans.append((events, (row["a"], row["b"])))
         return row["a"], row["b"]
 
     def as_of(self, events: DataFrame) -> date:

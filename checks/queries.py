@@ -22,7 +22,7 @@ from watchloom.operators.sessions import (
 )
 from watchloom.operators.upserts import append_assignments, cascade, flag_failed, upsert_embeddings
 from watchloom.plans import embedding, enrichment, ingest, insights, language, topics, views
-from watchloom.session import scratch_path
+from watchloom.session import materialize, scratch_path
 from watchloom.sources.dims import dim_categories
 from watchloom.sources.export import normalize_metadata
 from watchloom.sources.review import topic_report
@@ -486,6 +486,8 @@ def embed_job(t: Tables) -> DataFrame:
         "video_id",
         input_text(F.col("source"), F.array("lang"), F.col("description")).alias("text"),
     )
+    # Read by the fit and by the encoding.
+    texts = materialize(texts, "texts")
     return embedding.embed(texts, HashedTermsEncoder.fit(texts))
 
 

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchloom.session import materialize
+
 # Groups above this many rows are ranked in leaves.
 HOT_GROUP_ROWS = 2_000_000
 # At most this many groups are treated as hot; that bounds the broadcast list.
@@ -111,36 +113,49 @@ def hot_groups(df: DataFrame, columns: Sequence[str], hot_rows: int) -> DataFram
 
 
 def rank_by_time(
-    df: DataFrame, key: str, ts: str, tie: str, name: str, hot_rows: int = HOT_GROUP_ROWS
+    df: DataFrame,
+    key: str,
+    ts: str,
+    tie: str,
+    name: str,
+    hot_rows: int = HOT_GROUP_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Row number per ``key`` along (ts, tie); NULL keys form one group.
 
-    Ordinary groups are one window partition each. Groups above ``hot_rows`` are cut into
-    seconds, and their seconds above ``hot_rows`` into single times and runs of the integer
-    ``tie``, so that neither a key nor a time with a large share of all rows is one task.
+    Groups are counted first. As long as none is above ``hot_rows``, each is one window
+    partition. Groups above it are cut into seconds, and their seconds above it into single
+    times and runs of the integer ``tie``, so that neither a key nor a time with a large share
+    of all rows is one task.
+
+    ``source`` holds the same rows as ``df`` without its derived columns, if counting them
+    there is cheaper.
     """
     group = ["_key", "_no_key"]
     fine = ["_at", "_run"]
-    hour, leaf = second_leaf(F.col(ts))
-    keyed = df.withColumns(
-        {
-            "_key": F.coalesce(F.col(key).cast("string"), F.lit("")),
-            "_no_key": F.col(key).isNull(),
-        }
-    )
+    base = _with_group((df if source is None else source).select(key, ts, tie), key)
     # Neither list has more than MAX_HOT_GROUPS rows, so the broadcasts stay small.
-    hot = hot_groups(keyed, group, hot_rows).withColumn("_hot", F.lit(True))
-    marked = keyed.join(F.broadcast(hot), group, "left").withColumns(
-        {"_hour": F.when(F.col("_hot"), hour), "_leaf": F.when(F.col("_hot"), leaf)}
-    )
-    full = hot_groups(marked.where("_hot"), [*group, "_leaf"], hot_rows).withColumn(
-        "_full", F.lit(True)
-    )
-    placed = marked.join(F.broadcast(full), [*group, "_leaf"], "left").withColumns(
-        {"_leaf": F.coalesce("_leaf", F.lit(-1)), **tie_runs(ts, tie, F.col("_full"))}
-    )
+    hot = materialize(hot_groups(base, group, hot_rows), "hot-groups")
+    if hot.isEmpty():
+        order = Window.partitionBy(key).orderBy(ts, tie)
+        return df.withColumn(name, F.row_number().over(order).cast("bigint"))
+    hour, leaf = second_leaf(F.col(ts))
+    seconds = base.join(F.broadcast(hot), group, "left_semi").withColumn("_leaf", leaf)
+    full = materialize(hot_groups(seconds, [*group, "_leaf"], hot_rows), "full-seconds")
+
+    def place(frame: DataFrame) -> DataFrame:
+        marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+        full_marks = F.broadcast(full.withColumn("_full", F.lit(True)))
+        marked = frame.join(marks, group, "left").withColumns(
+            {"_hour": F.when(F.col("_hot"), hour), "_leaf": F.when(F.col("_hot"), leaf)}
+        )
+        return marked.join(full_marks, [*group, "_leaf"], "left").withColumns(
+            {"_leaf": F.coalesce("_leaf", F.lit(-1)), **tie_runs(ts, tie, F.col("_full"))}
+        )
+
     counts = (
-        placed.where("_hot")
+        place(base)
+        .where("_hot")
         .groupBy(*group, "_hour", "_leaf", *fine)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -149,13 +164,24 @@ def rank_by_time(
     )
     inside = F.row_number().over(Window.partitionBy(*group, "_leaf", *fine).orderBy(ts, tie))
     return (
-        placed.withColumn("_inside", inside)
+        place(_with_group(df, key))
+        .withColumn("_inside", inside)
         .join(before, [*group, "_leaf", *fine], "left")
         .withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_inside")).cast("bigint"))
         .drop(*group, "_hot", "_full", "_hour", "_leaf", *fine, "_before", "_inside")
     )
 
 
+def _with_group(df: DataFrame, key: str) -> DataFrame:
+    """Adds non-NULL columns that stand for the key, so that joins and windows agree on it."""
+    return df.withColumns(
+        {
+            "_key": F.coalesce(F.col(key).cast("string"), F.lit("")),
+            "_no_key": F.col(key).isNull(),
+        }
+    )
+
+
 def top_n(
     df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "_rank"
 ) -> DataFrame:

@@ -94,7 +94,7 @@ def discovery_events(
         base, "channel_id", "watched_at", "event_id", "channel_watch_rank", hot_rows
     )
     ranked = rank_by_time(
-        ranked, "video_id", "watched_at", "event_id", "video_watch_rank", hot_rows
+        ranked, "video_id", "watched_at", "event_id", "video_watch_rank", hot_rows, source=base
     )
     return ranked.join(
         channels.select("channel_id", "channel_name"), "channel_id", "left"
