@@ -248,7 +248,7 @@ def ingest_events(t: Tables) -> DataFrame:
     stored = ingest.new_events(empty, one, first_channels, 0)
     last = stored.agg(F.max("event_id")).scalar()
     more = ingest.new_events(stored, two, channels, last)
-    return stored.unionByName(more)
+    return stored.unionByName(more).drop("local_month")
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from watchloom.operators import ordering
 from watchloom.operators.sessions import session_summary, sessions, transitions
-from watchloom.plans.views import discovery_events
+from watchloom.plans.views import channel_funnel, discovery_events
 
 T0 = datetime(2024, 3, 30, 22, 0)
 
@@ -166,3 +166,13 @@ def test_discovery_flags_first_event_without_channel(events):
     found = discovery_events(events, channels, hot_rows=50).where("is_channel_discovery")
     assert found.where("channel_id is null").count() == 1
     assert found.count() == events.select("channel_id").distinct().count()
+
+
+def test_approximate_distinct_counts(events):
+    channels = events.select("channel_id").dropna().distinct().withColumn("channel_name", F.lit("n"))
+    exact = {r.channel_id: r for r in channel_funnel(events, channels).collect()}
+    near = {r.channel_id: r for r in channel_funnel(events, channels, approx=True).collect()}
+    assert exact.keys() == near.keys()
+    for key, r in exact.items():
+        assert near[key].total_views == r.total_views
+        assert abs(near[key].unique_videos - r.unique_videos) <= 2

@@ -179,9 +179,11 @@ def new_events(
     """Events the store lacks, with the next ids. The channel is the record's own."""
     fresh = missing(distinct_events(parsed), stored, ["video_id", "watched_at"])
     numbered = number_by_place(fresh, "event_id", last_id)
-    return with_channel_id(numbered, channels).select(
-        "event_id", "video_id", "channel_id", "watched_at",
-        local_date("watched_at", zone).alias("local_date"),
+    return (
+        with_channel_id(numbered, channels)
+        .select("event_id", "video_id", "channel_id", "watched_at")
+        .withColumn("local_date", local_date("watched_at", zone))
+        .withColumn("local_month", F.trunc("local_date", "month"))
     )
 
 
@@ -258,9 +260,11 @@ def ingest(
         lambda: _last(channels, "channel_id"),
         lambda: _last(events, "event_id"),
     )
-    # Only folders of days the load touches can hold duplicates of it.
+    # Only days the load touches can hold duplicates of it.
+    first_day, last_day = (F.lit(profile[c]).cast("date") for c in ("first_day", "last_day"))
     overlap = events.where(
-        F.col("local_date").between(F.lit(profile["first_day"]), F.lit(profile["last_day"]))
+        F.col("local_month").between(F.trunc(first_day, "month"), F.trunc(last_day, "month"))
+        & F.col("local_date").between(first_day, last_day)
     )
 
     channel_folder = store.stage("dim_channels", new_channels(channels, parsed, last_channel, stamp))

@@ -1,10 +1,13 @@
-"""The published views."""
+"""The published views.
+
+With ``approx`` distinct counts are sketches, which need no shuffle of the counted values.
+"""
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.functions.calendar import local_date, local_hour, local_ts, span_days
@@ -19,6 +22,11 @@ _DAY_COLUMNS = [
 ]
 
 
+def _distinct(approx: bool, column: str) -> Column:
+    """Distinct values, exact or as a sketch of fixed size."""
+    return F.approx_count_distinct(column, 0.01) if approx else F.count_distinct(column)
+
+
 def watch_history(
     events: DataFrame,
     videos: DataFrame,
@@ -55,15 +63,15 @@ def watch_history(
 
 def channel_loyalty(
     events: DataFrame, channels: DataFrame, videos: DataFrame, zone: str = LOCAL_ZONE,
-    base: DataFrame | None = None,
+    base: DataFrame | None = None, approx: bool = False,
 ) -> DataFrame:
     """Views, videos, active days and watch span per channel, for known videos."""
     base = base if base is not None else activity(events, zone)
     known = base.join(videos.select("video_id"), "video_id", "left_semi")
     per_channel = known.groupBy("channel_id").agg(
         F.sum("views").alias("total_views"),
-        F.count_distinct("video_id").alias("unique_videos"),
-        F.count_distinct("local_date").alias("active_days"),
+        _distinct(approx, "video_id").alias("unique_videos"),
+        _distinct(approx, "local_date").alias("active_days"),
         F.min("first_at").alias("first_at"),
         F.max("last_at").alias("last_at"),
     )
@@ -108,14 +116,14 @@ def discovery_events(
 
 def daily_summary(
     events: DataFrame, dates: DataFrame, as_of: date | str, zone: str = LOCAL_ZONE,
-    base: DataFrame | None = None,
+    base: DataFrame | None = None, approx: bool = False,
 ) -> DataFrame:
     """Activity per calendar day up to ``as_of``, days without any included."""
     base = base if base is not None else activity(events, zone)
     per_day = base.groupBy(F.col("local_date").alias("date_key")).agg(
         F.sum("views").alias("videos_watched"),
-        F.count_distinct("video_id").alias("unique_videos"),
-        F.count_distinct("channel_id").alias("unique_channels"),
+        _distinct(approx, "video_id").alias("unique_videos"),
+        _distinct(approx, "channel_id").alias("unique_channels"),
         F.min("first_at").alias("first_at"),
         F.max("last_at").alias("last_at"),
     )
@@ -134,7 +142,7 @@ def daily_summary(
 
 def monthly_summary(
     events: DataFrame, dates: DataFrame, as_of: date | str, since: date | str = "2020-01-01",
-    zone: str = LOCAL_ZONE, base: DataFrame | None = None,
+    zone: str = LOCAL_ZONE, base: DataFrame | None = None, approx: bool = False,
 ) -> DataFrame:
     """Activity per calendar month, months without any included.
 
@@ -150,9 +158,9 @@ def monthly_summary(
     )
     per_month = in_range.groupBy("year", "month").agg(
         F.sum("views").alias("total_views"),
-        F.count_distinct("video_id").alias("unique_videos"),
-        F.count_distinct("channel_id").alias("unique_channels"),
-        F.count_distinct("local_date").alias("active_days"),
+        _distinct(approx, "video_id").alias("unique_videos"),
+        _distinct(approx, "channel_id").alias("unique_channels"),
+        _distinct(approx, "local_date").alias("active_days"),
     )
     counts = ("total_views", "unique_videos", "unique_channels", "active_days")
     filled = months.join(per_month, ["year", "month"], "left").select(
@@ -166,7 +174,7 @@ def monthly_summary(
 
 def channel_monthly(
     events: DataFrame, channels: DataFrame, dates: DataFrame, zone: str = LOCAL_ZONE,
-    base: DataFrame | None = None,
+    base: DataFrame | None = None, approx: bool = False,
 ) -> DataFrame:
     """Views and distinct videos per channel and month, for days of the calendar."""
     base = base if base is not None else activity(events, zone)
@@ -175,7 +183,7 @@ def channel_monthly(
         base.where(F.col("channel_id").isNotNull())
         .join(days, "local_date")
         .groupBy("channel_id", "year", "month", "month_name")
-        .agg(F.sum("views").alias("views"), F.count_distinct("video_id").alias("unique_videos"))
+        .agg(F.sum("views").alias("views"), _distinct(approx, "video_id").alias("unique_videos"))
     )
     return per_month.join(channels.select("channel_id", "channel_name"), "channel_id").select(
         "channel_id", "channel_name", "year", "month", "month_name", "views", "unique_videos"
@@ -205,7 +213,7 @@ def hourly_distribution(events: DataFrame, dates: DataFrame, zone: str = LOCAL_Z
 
 
 def channel_funnel(
-    events: DataFrame, channels: DataFrame, zone: str = LOCAL_ZONE, base: DataFrame | None = None
+    events: DataFrame, channels: DataFrame, zone: str = LOCAL_ZONE, base: DataFrame | None = None, approx: bool = False,
 ) -> DataFrame:
     """Statistics and loyalty stage of each channel."""
     base = base if base is not None else activity(events, zone)
@@ -214,8 +222,8 @@ def channel_funnel(
         .groupBy("channel_id")
         .agg(
             F.sum("views").alias("total_views"),
-            F.count_distinct("video_id").alias("unique_videos"),
-            F.count_distinct("local_date").alias("active_days"),
+            _distinct(approx, "video_id").alias("unique_videos"),
+            _distinct(approx, "local_date").alias("active_days"),
             F.min("first_at").alias("first_watch"),
             F.max("last_at").alias("last_watch"),
         )

@@ -30,7 +30,7 @@ TABLES = {
         enriched_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz""",
     "fact_watch_events": """
         event_id bigint, video_id string, channel_id bigint, watched_at timestamp_ntz,
-        local_date date""",
+        local_date date, local_month date""",
     "quarantine_events": """
         video_id string, channel_name string, channel_url string, file_name string,
         pos bigint, reason string""",
@@ -62,5 +62,8 @@ TABLES = {
         topics_created bigint, topics_total bigint, duration_seconds double""",
 }
 
-# Column by which a table's files are laid out in folders.
-PARTITION_COLUMN = {"fact_watch_events": "local_date"}
+# Column by which a table's files are laid out in folders. Months, since the days of one
+# person's history would be thousands of tiny files.
+PARTITION_COLUMN = {"fact_watch_events": "local_month"}
+# Column by which files are sorted, so that their statistics narrow a scan down to days.
+SORT_COLUMN = {"fact_watch_events": "local_date"}
