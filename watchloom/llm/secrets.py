@@ -86,12 +86,15 @@ def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
     base = F.filter("found", lambda x: x["kind"].isin(*BASE))
 
+    def count(kind):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+
     def text_of(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
     return found.select(
         "doc_id",
-        *[F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        *[count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(text_of(base).cast("binary"), 256).alias("base_sha256"),
         text_of(F.col("found")).alias("spans"),
     )
