@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import langid, mixing, quality, secrets
+from watchloom.llm import langid, mixing, pii, quality, secrets
 
 
 def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         langid.op1_language_id,
+        pii.op4_pii,
         quality.op5_quality_rules,
         secrets.op8_secret_scan,
         mixing.op9_source_mix,
