@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import langid, mixing
+from watchloom.llm import langid, mixing, packing
 from watchloom.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,6 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 STAGES = [
     ("language_id", langid.stage),
     ("source_mix", mixing.stage),
+    ("best_fit", packing.stage),
 ]
 
 ORACLE_SQL = None

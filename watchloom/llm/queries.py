@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import langid, mixing, pii, quality, secrets
+from watchloom.llm import langid, mixing, packing, pii, quality, secrets
 
 
 def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         langid.op1_language_id,
         pii.op4_pii,
         quality.op5_quality_rules,
+        packing.op6_best_fit,
         secrets.op8_secret_scan,
         mixing.op9_source_mix,
     )
