@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import langid, mixing, packing, pii, quality, secrets
+from watchloom.llm import langid, mixing, neardup, packing, pii, quality, secrets
 
 
 def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pii.op4_pii,
         quality.op5_quality_rules,
         packing.op6_best_fit,
+        neardup.op7_embedding_dedup,
         secrets.op8_secret_scan,
         mixing.op9_source_mix,
     )
@@ -24,5 +25,6 @@ def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def all_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": quality.sql(),
+        "op7_embedding_dedup": neardup.sql(),
         "op9_source_mix": mixing.sql(),
     }
