@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import langid, mixing, neardup, packing, pii, quality, secrets
+from watchloom.llm import langid, mixing, neardup, ngrams, packing, pii, quality, secrets
 
 
 def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         langid.op1_language_id,
+        ngrams.op2_ngram_join,
         pii.op4_pii,
         quality.op5_quality_rules,
         packing.op6_best_fit,
@@ -24,6 +25,7 @@ def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_sql() -> dict[str, str]:
     return {
+        "op2_ngram_join": ngrams.sql(),
         "op5_quality_rules": quality.sql(),
         "op7_embedding_dedup": neardup.sql(),
         "op9_source_mix": mixing.sql(),
