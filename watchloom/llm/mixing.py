@@ -53,6 +53,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def before(value: str, within: list[str], *order: str) -> Column:
+    """The sum of ``value`` over the earlier rows of a group."""
+    window = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(window), F.lit(0))
+
+
 def mix(df: DataFrame, key: Column, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """``df`` (with source and size) with source_size, target and taken: the words the mix takes of each row.
 
@@ -65,16 +71,18 @@ def mix(df: DataFrame, key: Column, weights: tuple[int, ...] = WEIGHTS, epochs:
     rows = rows.withColumn("__stretch", F.substring("__key", 1, STRETCH))
     sums = materialize(rows.groupBy("source", "__stretch").agg(F.sum("size").alias("__sum")), "mix-sums")
     goals = targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, epochs)
-    earlier = Window.partitionBy("source").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        "source", "__stretch", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start")
+    # In two levels of at most 256 rows each, so that no task has to walk over all stretches of a source.
+    sums = sums.withColumn("__coarse", F.substring("__stretch", 1, STRETCH // 2))
+    coarse = sums.groupBy("source", "__coarse").agg(F.sum("__sum").alias("__all"))
+    coarse = coarse.select(
+        F.col("source").alias("__s"), F.col("__coarse").alias("__c"), before("__all", ["source"], "__coarse").alias("__base")
     )
+    fine = sums.withColumn("__in", before("__sum", ["source", "__coarse"], "__stretch"))
+    starts = fine.join(
+        coarse, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__coarse") == F.col("__c"))
+    ).select("source", "__stretch", (F.col("__base") + F.col("__in")).alias("__start"))
     plan = starts.join(goals.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    within = (
-        Window.partitionBy("source", "__stretch").orderBy("__key", "size")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = rows.withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = rows.withColumn("__before", before("size", ["source", "__stretch"], "__key", "size"))
     plan = plan.select(
         F.col("source").alias("__s"), F.col("__stretch").alias("__t"), "__start", "source_size", "target"
     )
