@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import langid, mixing, packing
+from watchloom.llm import langid, lines, mixing, ngrams, packing
 from watchloom.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 STAGES = [
     ("language_id", langid.stage),
+    ("line_dedup", lines.stage),
+    ("ngram_join", ngrams.stage),
     ("source_mix", mixing.stage),
     ("best_fit", packing.stage),
 ]

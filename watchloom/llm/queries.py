@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import langid, mixing, neardup, ngrams, packing, pii, quality, secrets
+from watchloom.llm import langid, lines, mixing, neardup, ngrams, packing, pii, quality, secrets
 
 
 def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         langid.op1_language_id,
         ngrams.op2_ngram_join,
+        lines.op3_line_dedup,
         pii.op4_pii,
         quality.op5_quality_rules,
         packing.op6_best_fit,
