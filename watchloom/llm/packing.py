@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,10 @@ END = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Classes into which the pieces of a length are dealt, so that a length that most pieces have is numbered by many tasks.
 DEAL = 256
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Parts of words whose ids a Python worker remembers.
+REMEMBERED = 800_000
+#: Bytes of text taken at a time; more would share more words and take more memory.
+SLICE = 16 << 20
 TAIL = ".,!?;:%&*$#|"
 
 
@@ -57,46 +60,49 @@ class WordIds:
 
     The tokenizer splits at white space before it merges, so a text's ids are those of its words in turn. A word's
     closing punctuation is split off too where the tokenizer cuts in any case: behind a letter or a digit.
+    ``memory`` holds the ids of such parts as bytes.
     """
 
-    def __init__(self, tokenizer, memory: dict[str, np.ndarray]) -> None:
+    def __init__(self, tokenizer, memory: dict[str, bytes]) -> None:
         self.tokenizer, self.memory = tokenizer, memory
 
-    def of_words(self, words: list[str]) -> list[np.ndarray]:
-        parts = []
-        for w in words:
-            core = w.rstrip(TAIL)
-            if core and core != w and core[-1].isalnum():
-                tail = w[len(core):]
-            else:
-                core, tail = w, ""
-            parts.append((core.lower() if core.isascii() and core.isalpha() else core, tail))
-        fresh = list({p for pair in parts for p in pair if p and p not in self.memory})
-        if len(self.memory) + len(fresh) > REMEMBERED:
-            self.memory.clear()
-            fresh = list({p for pair in parts for p in pair if p})
+    def of_words(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words as bytes, four for each id."""
+        plain = words.to_pylist()
+        cores = [
+            c if c and c[-1].isalnum() else w for c, w in zip(pc.ascii_rtrim(words, TAIL).to_pylist(), plain, strict=True)
+        ]
+        tails = [w[len(c):] for w, c in zip(plain, cores, strict=True)]
+        # A special token keeps its case; it is the only word for which case matters.
+        cores = [c.lower() if c.isascii() and c.isalpha() else c for c in cores]
+        memory = self.memory
+        fresh = [p for p in {*cores, *tails} if p not in memory]
+        if len(memory) + len(fresh) > REMEMBERED:
+            memory.clear()
+            fresh = list({*cores, *tails})
         for low in range(0, len(fresh), 4096):
             some = fresh[low:low + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.memory[p] = np.array(e.ids, dtype=np.uint32)
-        get = self.memory.__getitem__
-        return [np.concatenate([get(a), get(b)]) if b else get(a) for a, b in parts]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                memory[p] = array("I", e.ids).tobytes()
+        get = memory.__getitem__
+        return [get(c) + get(t) if t else get(c) for c, t in zip(cores, tails, strict=True)]
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = lists.flatten().dictionary_encode()
-        distinct = self.of_words(words.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in distinct] + [0], dtype=np.int64)
-        flat = np.concatenate([*distinct, np.empty(0, np.uint32)])
-        begins = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+        distinct = self.of_words(words.dictionary)
+        lengths = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) // 4
+        flat = np.frombuffer(b"".join(distinct), dtype=np.uint32)
+        begins = np.cumsum(lengths) - lengths
         which = words.indices.to_numpy(zero_copy_only=False)
         took = lengths[which]
-        ends = np.cumsum(took)
+        ends = np.concatenate([[0], np.cumsum(took)])
         # Where each id lies in `flat`: its word's begin and the steps since that word began.
-        at = np.repeat(begins[which] - np.concatenate([[0], ends[:-1]]) if len(which) else begins[:0], took)
-        ids = flat[at + np.arange(len(at))] if len(at) else flat[:0]
-        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        at = np.repeat((begins[which] - ends[:-1]).astype(np.int32), took)
+        at += np.arange(ends[-1], dtype=np.int32)
+        ids = flat[at]
+        bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return ids, np.diff(bounds)
 
 
@@ -115,7 +121,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 flat, counts = words.of_texts(part.column("text"))
                 ends = np.cumsum(counts)
                 rows, number, start, length, check, ids = [], [], [], [], [], []
