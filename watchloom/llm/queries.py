@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import langid, lines, mixing, neardup, ngrams, packing, pii, quality, secrets
+from watchloom.llm import langid, lines, mixing, neardup, ngrams, packing, pii, quality, secrets, toolcalls
 
 
 def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         neardup.op7_embedding_dedup,
         secrets.op8_secret_scan,
         mixing.op9_source_mix,
+        toolcalls.op10_tool_calls,
     )
     return {f.__name__: f for f in found}
 
@@ -30,4 +31,5 @@ def all_sql() -> dict[str, str]:
         "op5_quality_rules": quality.sql(),
         "op7_embedding_dedup": neardup.sql(),
         "op9_source_mix": mixing.sql(),
+        "op10_tool_calls": toolcalls.sql(),
     }
