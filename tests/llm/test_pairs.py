@@ -40,7 +40,12 @@ def brute_lines(rows):
     texts = sorted({n for *_, n in spots})
 
     def sim(n):
-        words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in n.split(" ")]
+        words = n.split(" ")
+        if len(words) < lines.FUZZY_WORDS:
+            return None
+        run = -(-len(words) // lines.MAX_FEATURES)
+        words = [" ".join(words[i:i + run]) for i in range(0, len(words), run)]
+        words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
         return sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in words) > len(words))
 
     def distance(a, b):
@@ -54,7 +59,7 @@ def brute_lines(rows):
     sims = {n: sim(n) for n in texts}
     edges = [
         (a, b) for a, b in combinations(texts, 2)
-        if (sims[a] ^ sims[b]).bit_count() <= lines.DISTANCE
+        if sims[a] is not None and sims[b] is not None and (sims[a] ^ sims[b]).bit_count() <= lines.DISTANCE
         and distance(a, b) <= int(max(len(a), len(b)) * (1 - lines.SIMILARITY) + 1e-9)
     ]
     roots = components_of(texts, edges)
@@ -86,6 +91,15 @@ def test_line_dedup_against_brute_force(spark):
     assert got == want
 
 
+def test_long_lines(spark, monkeypatch):
+    """Lines of more words than counters have room for are hashed by runs of words."""
+    monkeypatch.setattr(lines, "MAX_FEATURES", 30)
+    rows = near_rows()
+    want, edges = brute_lines(rows)
+    got = {(r.doc_id, r.line_no) for r in lines.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_lines_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").collect()]
     want, _ = brute_lines(rows)
