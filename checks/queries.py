@@ -24,13 +24,17 @@ from watchloom.operators.upserts import append_assignments, cascade, flag_failed
 from watchloom.plans import embedding, enrichment, ingest, insights, language, topics, views
 from watchloom.session import materialize, scratch_path
 from watchloom.sources.dims import dim_categories
-from watchloom.sources.export import normalize_metadata
+from watchloom.sources.export import normalize_metadata, read_export
 from watchloom.sources.review import topic_report
 from watchloom.sources.store import Store
 from watchloom.streaming.ingest import stream_exports
 from watchloom.streaming.sessions import viewer_sessions as stream_viewer_sessions
 from watchloom.streaming.sessions import write_sessions
 
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
@@ -488,7 +492,12 @@ def embed_job(t: Tables) -> DataFrame:
     )
     # Read by the fit and by the encoding.
     texts = materialize(texts, "texts")
-    return embedding.embed(texts, HashedTermsEncoder.fit(texts))
+    found = embedding.embed(texts, HashedTermsEncoder.fit(texts))
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return found.select(
+        "video_id", F.size("embedding").alias("size"), F.round(F.sqrt(length), 4).alias("norm"),
+        F.col("embedding").isNull().alias("failed"),
+    )
 
 
 @query
@@ -684,6 +693,37 @@ def topic_share(t: Tables) -> DataFrame:
     return insights.topic_share(t.events(), _video_topics(t))
 
 
+@query
+def quarantined_records(t: Tables) -> DataFrame:
+    """Records landed as lines, every seventh of them cut short, read back and classified."""
+    line = F.to_json(F.struct("title", "titleUrl", "time", "details", "subtitles"))
+    cut = F.substring(line, F.lit(1), F.length(line) - 9)
+    path = scratch_path(t.spark, "broken-exports")
+    t.records().select(F.when(F.col("pos") % 7 == 0, cut).otherwise(line).alias("value")).write.text(path)
+    landed = ingest.land(read_export(t.spark, path, lines=True))
+    kinds = landed.groupBy("record_class").agg(F.count(F.lit(1)).alias("n"))
+    held = ingest.quarantine(landed).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.union(held).toDF("kind", "n")
+
+
+@query
+def enrich_job(t: Tables) -> DataFrame:
+    """Status after batches of requests, of which every third failed as a whole."""
+    v = t.videos()
+    batches = enrichment.candidates(v).select(
+        "video_id", F.pmod(F.substring("video_id", 2, 20).cast("bigint"), F.lit(6)).alias("batch")
+    )
+    answers = batches.select("batch").distinct().select(
+        F.concat(F.lit("responses/batch-"), "batch", F.lit(".json")).alias("file_name"),
+        (F.col("batch") % 3 != 1).alias("answered"),
+    )
+    attempted = enrichment.attempts(batches, answers)
+    got = t.metadata().join(attempted.where("answered"), "video_id", "left_semi")
+    now = _now()
+    done = enrichment.flip_missing(enrichment.apply_metadata(v, got, now), attempted, got, now)
+    return done.select("video_id", "status", "enriched_at")
+
+
 @query
 def length_mix(t: Tables) -> DataFrame:
     return insights.length_mix(t.events(), t.videos())
@@ -718,7 +758,7 @@ def row_counts(t: Tables) -> DataFrame:
         t.read(n).agg(F.count(F.lit(1)).alias("row_count")).select(
             F.lit(n).alias("table_name"), "row_count"
         )
-        for n in ("customer", "documents", "embeddings", "events", "lineitem", "orders")
+        for n in TABLES
     ]
     out = parts[0]
     for part in parts[1:]:

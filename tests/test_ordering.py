@@ -30,23 +30,19 @@ def events(spark):
     ).repartition(6)
 
 
-@pytest.mark.parametrize("hot_rows", [10, 400, 10**9])
 @pytest.mark.parametrize("key", ["channel_id", "video_id"])
-def test_rank_by_time_equals_window(events, key, hot_rows):
-    got = ordering.rank_by_time(events, key, "watched_at", "event_id", "r", hot_rows)
+def test_rank_by_time_equals_window(events, key):
+    got = ordering.rank_by_time(events, key, "watched_at", "event_id", "r")
     naive = events.withColumn(
         "r", F.row_number().over(Window.partitionBy(key).orderBy("watched_at", "event_id")).cast("bigint")
     )
     assert sorted(got.select("event_id", "r").collect()) == sorted(naive.select("event_id", "r").collect())
 
 
-def test_rank_survives_more_hot_groups_than_the_list_holds(events, monkeypatch):
-    monkeypatch.setattr(ordering, "MAX_HOT_GROUPS", 2)
-    got = ordering.rank_by_time(events, "channel_id", "watched_at", "event_id", "r", 5)
-    naive = events.withColumn(
-        "r", F.row_number().over(Window.partitionBy("channel_id").orderBy("watched_at", "event_id"))
-    )
-    assert sorted(got.select("event_id", "r").collect()) == sorted(naive.select("event_id", "r").collect())
+def test_rank_with_missing_times(events):
+    """Events without time come first, and the others go on behind them."""
+    some = events.withColumn("watched_at", F.when(F.col("event_id") % 3 != 0, F.col("watched_at")))
+    test_rank_by_time_equals_window(some, "channel_id")
 
 
 def naive_sessions(events, gap):
@@ -65,20 +61,18 @@ def crowded(spark, events):
     return events.unionByName(spark.createDataFrame(rows, events.schema)).repartition(5)
 
 
-@pytest.mark.parametrize("hot_rows", [3, 200])
-def test_rank_with_a_crowded_second(crowded, hot_rows):
-    test_rank_by_time_equals_window(crowded, "channel_id", hot_rows)
+def test_rank_with_a_crowded_second(crowded):
+    test_rank_by_time_equals_window(crowded, "channel_id")
 
 
-@pytest.mark.parametrize("hot_rows", [2, 100, 10**9])
-def test_sessions_with_a_crowded_second(crowded, hot_rows):
-    test_sessions_equal_naive_window(crowded, 10, hot_rows)
+def test_sessions_with_a_crowded_second(crowded):
+    test_sessions_equal_naive_window(crowded, 10)
 
 
 @pytest.mark.parametrize("gap", [1, 10, 45])
-def test_sessions_equal_naive_window(events, gap, hot_rows=10**9):
+def test_sessions_equal_naive_window(events, gap):
     want = naive_sessions(events, gap)
-    got = sessions(events, gap, hot_rows=hot_rows)
+    got = sessions(events, gap)
     pick = ["event_id", "session_id"]
     assert sorted(got.select(*pick).collect()) == sorted(want.select(*pick).collect())
     gaps = {r.event_id: r.g for r in want.collect()}
@@ -104,19 +98,18 @@ def test_gap_smaller_than_leaf_is_refused(events):
         sessions(events, gap_minutes=0.001)
 
 
-@pytest.mark.parametrize("hot_rows", [2, 100])
-def test_transitions_with_a_crowded_second(crowded, hot_rows):
-    test_transitions_equal_naive(crowded, hot_rows)
+def test_transitions_with_a_crowded_second(crowded):
+    test_transitions_equal_naive(crowded)
 
 
-def test_transitions_equal_naive(events, hot_rows=10**9):
+def test_transitions_equal_naive(events):
     order = Window.partitionBy("session_id").orderBy("watched_at", "event_id")
     want = (
         naive_sessions(events, 45).withColumn("p", F.lag("channel_id").over(order))
         .where("p is not null and channel_id is not null")
         .groupBy("p", "channel_id").count()
     )
-    assert sorted(tuple(r) for r in transitions(events, hot_rows=hot_rows).collect()) == sorted(tuple(r) for r in want.collect())
+    assert sorted(tuple(r) for r in transitions(events).collect()) == sorted(tuple(r) for r in want.collect())
 
 
 def single_partition_inputs(df) -> list[str]:
@@ -163,7 +156,7 @@ def test_batches(spark):
 
 def test_discovery_flags_first_event_without_channel(events):
     channels = events.select("channel_id").dropna().distinct().withColumn("channel_name", F.lit("n"))
-    found = discovery_events(events, channels, hot_rows=50).where("is_channel_discovery")
+    found = discovery_events(events, channels).where("is_channel_discovery")
     assert found.where("channel_id is null").count() == 1
     assert found.count() == events.select("channel_id").distinct().count()
 

@@ -24,4 +24,5 @@ def normalize(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """NULL where a vector is zero, as it has no direction."""
+    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))

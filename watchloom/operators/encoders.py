@@ -28,7 +28,7 @@ class Encoder(Protocol):
     def encode(self, texts: DataFrame) -> DataFrame:
         """(video_id, text) → (video_id, embedding array<float>, error string).
 
-        A blank text has no embedding and the error ``NO_TEXT``.
+        A text that is blank, or whose vector is zero, has no embedding and the error ``NO_TEXT``.
         """
         ...
 
@@ -64,10 +64,12 @@ class HashedTermsEncoder:
         return cls(PipelineModel.load(path))
 
     def encode(self, texts: DataFrame) -> DataFrame:
-        blank = strip(F.col("text")) == ""
+        # A text of marks alone, or of terms that every text has, has no direction.
+        vector = vector_to_array("_unit", "float32")
+        blank = (strip(F.col("text")) == "") | ~F.exists(vector, lambda x: x != 0)
         return self.model.transform(texts).select(
             "video_id",
-            F.when(~blank, vector_to_array("_unit", "float32")).alias("embedding"),
+            F.when(~blank, vector).alias("embedding"),
             F.when(blank, NO_TEXT).alias("error"),
         )
 
@@ -114,9 +116,11 @@ def _encode_part(part: pd.DataFrame, encode_texts) -> pd.DataFrame:
         vectors = np.asarray(encode_texts(texts), dtype=np.float64)
         lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
         unit = (vectors / np.where(lengths == 0, 1, lengths)).astype(np.float32)
-        out.loc[filled, "error"] = None
-        rows = iter(unit)
-        out["embedding"] = [next(rows) if f else None for f in filled]
+        good = filled.copy()
+        good[filled] = lengths[:, 0] > 0
+        out.loc[good, "error"] = None
+        rows = iter(unit[lengths[:, 0] > 0])
+        out["embedding"] = [next(rows) if g else None for g in good]
     except Exception as failure:  # a batch may fail for any reason of the plugged-in model
         out.loc[filled, "error"] = f"{type(failure).__name__}: {failure}"
     return out

@@ -15,14 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchloom.session import materialize
-
-# Groups above this many rows are ranked in leaves.
-HOT_GROUP_ROWS = 2_000_000
-# At most this many groups are treated as hot; that bounds the broadcast list.
-MAX_HOT_GROUPS = 50_000
 # Integers in one run of a tie-break.
 _TIES_PER_RUN = 65_536
+# Stands for a missing time, before all times.
+_NO_TIME = -(1 << 62)
 
 
 def second_leaf(ts: Column) -> list[Column]:
@@ -37,11 +33,12 @@ def time_leaf(ts: Column, grain_seconds: int) -> list[Column]:
     return [F.floor(leaf / 3600).alias("_hour"), leaf.alias("_leaf")]
 
 
-def tie_runs(ts: str, tie: str, full: Column) -> dict[str, Column]:
-    """Parts of a leaf that is ``full``: its single times, and runs of an integer tie-break."""
+def tie_runs(ts: str, tie: str) -> dict[str, Column]:
+    """Parts of a leaf: its single times, and runs of an integer tie-break."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     return {
-        "_at": F.when(full, F.unix_micros(F.col(ts).cast("timestamp"))).otherwise(-1),
-        "_run": F.when(full, F.floor(F.col(tie) / _TIES_PER_RUN)).otherwise(-1),
+        "_at": F.coalesce(at, F.lit(_NO_TIME)),
+        "_run": F.floor(F.col(tie) / _TIES_PER_RUN),
     }
 
 
@@ -100,75 +97,49 @@ def number_rows(
     )
 
 
-def hot_groups(df: DataFrame, columns: Sequence[str], hot_rows: int) -> DataFrame:
-    """The largest groups above ``hot_rows`` rows; at most ``MAX_HOT_GROUPS`` of them."""
-    return (
-        df.groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *columns)
-        .limit(MAX_HOT_GROUPS)
-        .select(*columns)
-    )
-
-
 def rank_by_time(
     df: DataFrame,
     key: str,
     ts: str,
     tie: str,
     name: str,
-    hot_rows: int = HOT_GROUP_ROWS,
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """Row number per ``key`` along (ts, tie); NULL keys form one group.
+    """Row number per ``key`` along (ts, tie); NULL keys form one group, NULL times come first.
 
-    Groups are counted first. As long as none is above ``hot_rows``, each is one window
-    partition. Groups above it are cut into seconds, and their seconds above it into single
-    times and runs of the integer ``tie``, so that neither a key nor a time with a large share
-    of all rows is one task.
+    Every group is cut into seconds, and seconds into single times and runs of the integer
+    ``tie``: a row's number is the number of rows in earlier parts and its place in its own.
+    Neither a key nor a time with a large share of all rows is one task.
 
     ``source`` holds the same rows as ``df`` without its derived columns, if counting them
     there is cheaper.
     """
     group = ["_key", "_no_key"]
     fine = ["_at", "_run"]
-    base = _with_group((df if source is None else source).select(key, ts, tie), key)
-    # Neither list has more than MAX_HOT_GROUPS rows, so the broadcasts stay small.
-    hot = materialize(hot_groups(base, group, hot_rows), "hot-groups")
-    if hot.isEmpty():
-        order = Window.partitionBy(key).orderBy(ts, tie)
-        return df.withColumn(name, F.row_number().over(order).cast("bigint"))
     hour, leaf = second_leaf(F.col(ts))
-    seconds = base.join(F.broadcast(hot), group, "left_semi").withColumn("_leaf", leaf)
-    full = materialize(hot_groups(seconds, [*group, "_leaf"], hot_rows), "full-seconds")
 
     def place(frame: DataFrame) -> DataFrame:
-        marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-        full_marks = F.broadcast(full.withColumn("_full", F.lit(True)))
-        marked = frame.join(marks, group, "left").withColumns(
-            {"_hour": F.when(F.col("_hot"), hour), "_leaf": F.when(F.col("_hot"), leaf)}
-        )
-        return marked.join(full_marks, [*group, "_leaf"], "left").withColumns(
-            {"_leaf": F.coalesce("_leaf", F.lit(-1)), **tie_runs(ts, tie, F.col("_full"))}
-        )
+        return _with_group(frame, key).withColumns({
+            "_hour": F.coalesce(hour, F.lit(_NO_TIME)),
+            "_leaf": F.coalesce(leaf, F.lit(_NO_TIME)),
+            **tie_runs(ts, tie),
+        })
 
     counts = (
-        place(base)
-        .where("_hot")
+        place((df if source is None else source).select(key, ts, tie))
         .groupBy(*group, "_hour", "_leaf", *fine)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     before = rows_before(counts, group, [["_hour"], ["_leaf"], fine], "_n").select(
         *group, "_leaf", *fine, "_before"
     )
-    inside = F.row_number().over(Window.partitionBy(*group, "_leaf", *fine).orderBy(ts, tie))
+    inside = F.row_number().over(Window.partitionBy(*group, "_leaf", *fine).orderBy(tie))
     return (
-        place(_with_group(df, key))
+        place(df)
         .withColumn("_inside", inside)
-        .join(before, [*group, "_leaf", *fine], "left")
-        .withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_inside")).cast("bigint"))
-        .drop(*group, "_hot", "_full", "_hour", "_leaf", *fine, "_before", "_inside")
+        .join(before, [*group, "_leaf", *fine])
+        .withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
+        .drop(*group, "_hour", "_leaf", *fine, "_before", "_inside")
     )
 
 
@@ -211,11 +182,14 @@ def quota_head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def batch_number(head: DataFrame, order: Sequence[str], size: int) -> DataFrame:
-    """Numbers the rows of a quota head, and its batches of ``size`` from 0.
+    """Numbers the rows of a quota head along ``order``, and its batches of ``size`` from 0.
 
-    The input is the head that the daily quota allows, so its size is bounded.
+    Ranges of the first column are numbered apart: its first characters name a range, and sums
+    over the ranges say where each begins.
     """
-    position = F.row_number().over(Window.orderBy(*order))
-    return head.withColumn("position", position.cast("bigint")).withColumn(
-        "batch", F.floor((F.col("position") - 1) / size)
-    )
+    stretch = F.substring(F.coalesce(F.col(order[0]).cast("string"), F.lit("")), 1, 2)
+    numbered = number_rows(
+        head.withColumns({"_part": F.substring(stretch, 1, 1), "_two": stretch}),
+        ["_part"], ["_two"], order, "position",
+    ).drop("_part", "_two")
+    return numbered.withColumn("batch", F.floor((F.col("position") - 1) / size))

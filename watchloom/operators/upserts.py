@@ -16,10 +16,12 @@ def missing(wanted: DataFrame, present: DataFrame, on: Sequence[str]) -> DataFra
 def update_from(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """``old`` with ``columns`` taken from the matching row of ``new``, NULLs included.
 
-    ``new`` has one row per key.
+    Of several rows of ``new`` for a key the largest by ``columns``, in their order, counts.
     """
-    changes = new.select(
-        F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns]
+    changes = (
+        new.groupBy(key)
+        .agg(F.max(F.struct(*columns)).alias("_new"))
+        .select(key, F.lit(True).alias("_hit"), *[F.col(f"_new.{c}").alias(f"_new_{c}") for c in columns])
     )
     joined = old.join(changes, key, "left")
     return joined.select(

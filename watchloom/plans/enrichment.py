@@ -37,12 +37,35 @@ def apply_metadata(videos: DataFrame, metadata: DataFrame, now: Column) -> DataF
     return update_from(videos, stamped, "video_id", [*METADATA_FIELDS, "enriched_at", "updated_at"])
 
 
+def attempts(batches: DataFrame, responses: DataFrame) -> DataFrame:
+    """video_id and answered of ``batches`` (video_id, batch).
+
+    ``responses`` (file_name, answered) are files with ``batch-<number>`` in their names; a batch
+    is answered if one of its responses is.
+    """
+    number = F.regexp_extract("file_name", r"batch-(\d+)", 1)
+    known = responses.groupBy(F.nullif(number, F.lit("")).cast("bigint").alias("batch")).agg(
+        F.bool_or("answered").alias("answered")
+    )
+    return batches.join(known, "batch", "left").select(
+        "video_id", F.coalesce("answered", F.lit(False)).alias("answered")
+    )
+
+
+def answered(attempted: DataFrame) -> DataFrame:
+    return attempted.where("answered") if "answered" in attempted.columns else attempted
+
+
 def flip_missing(
     videos: DataFrame, attempted: DataFrame, metadata: DataFrame, now: Column
 ) -> DataFrame:
-    """Videos that were asked for but not returned become unavailable."""
+    """Videos that were asked for but not returned become unavailable.
+
+    Those whose request failed stay as they are: rows of ``attempted`` (video_id and, if some
+    requests failed, answered) that are not answered flip nothing.
+    """
     gone = (
-        missing(attempted.select("video_id").distinct(), metadata, ["video_id"])
+        missing(answered(attempted).select("video_id").distinct(), metadata, ["video_id"])
         .withColumns({"status": F.lit("unavailable"), "updated_at": now})
     )
     return update_from(videos, gone, "video_id", ["status", "updated_at"])
@@ -77,12 +100,20 @@ def field_coverage(videos: DataFrame, fields: list[str] | None = None) -> DataFr
 def enrich(
     store: Store, metadata: DataFrame, attempted: DataFrame, now: datetime | None = None
 ) -> dict[str, int]:
-    """Applies landed responses to the video snapshot and logs the run."""
+    """Applies landed responses to the video snapshot and logs the run.
+
+    Only candidates among the attempted videos are flipped, and only if their request was
+    answered; the others are reported as unanswered and stay candidates.
+    """
     began = time.monotonic()
     at = now or datetime.now(UTC).replace(tzinfo=None)
     stamp = F.lit(at).cast("timestamp_ntz")
     videos = store.read("dim_videos")
     targeted = candidates(videos).count()
+    failed = 0
+    if "answered" in attempted.columns:
+        failed = attempted.where("NOT answered").select("video_id").distinct().count()
+    attempted = answered(attempted).join(candidates(videos).select("video_id"), "video_id", "left_semi")
     updated = flip_missing(apply_metadata(videos, metadata, stamp), attempted, metadata, stamp)
     folder = store.stage("dim_videos", updated)
 
@@ -108,5 +139,6 @@ def enrich(
         "targeted": targeted,
         "enriched": tally["enriched"],
         "flipped": tally["flipped"],
+        "unanswered": failed,
         "remaining": targeted - tally["enriched"] - tally["flipped"],
     }

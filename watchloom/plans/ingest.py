@@ -16,6 +16,7 @@ from watchloom.operators.ordering import number_rows
 from watchloom.operators.upserts import missing
 from watchloom.session import materialize, together
 from watchloom.sources.export import read_export
+from watchloom.sources.schemas import BROKEN
 from watchloom.sources.store import Store
 
 # Records of one file that share a numbering leaf.
@@ -23,10 +24,11 @@ _POSITIONS_PER_LEAF = 65_536
 
 
 def classify(raw: DataFrame) -> DataFrame:
-    """Adds the record class."""
-    return raw.withColumn(
-        "record_class", R.record_class(F.col("details"), F.col("titleUrl"), F.col("title"))
-    )
+    """Adds the record class; text that is no JSON is ``broken``."""
+    kind = R.record_class(F.col("details"), F.col("titleUrl"), F.col("title"))
+    if BROKEN in raw.columns:
+        kind = F.when(F.col(BROKEN).isNotNull(), "broken").otherwise(kind)
+    return raw.withColumn("record_class", kind)
 
 
 def _class_counters() -> list[Column]:
@@ -187,11 +189,16 @@ def new_events(
     )
 
 
-def quarantine(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("watched_at").isNull()).select(
-        "video_id", "channel_name", "channel_url", "file_name", "pos",
-        F.lit("time missing or unreadable").alias("reason"),
+def quarantine(extracted: DataFrame) -> DataFrame:
+    """Records that are no JSON, and those of the kept ones that have no time."""
+    fields = ["video_id", "channel_name", "channel_url", "file_name", "pos"]
+    broken = extracted.where("record_class = 'broken'").select(
+        *[F.lit(None).cast("string").alias(c) for c in fields[:3]], *fields[3:],
+        F.lit("not JSON").alias("reason"),
     )
+    return kept(extracted).where(F.col("watched_at").isNull()).select(
+        *fields, F.lit("time missing or unreadable").alias("reason")
+    ).unionByName(broken)
 
 
 def event_counts(stored: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -234,6 +241,7 @@ class IngestResult:
     new_videos: int
     new_events: int
     duplicate_events: int
+    broken_records: int
 
 
 def ingest(
@@ -275,7 +283,7 @@ def ingest(
         lambda: store.stage(
             "fact_watch_events", new_events(overlap, parsed, all_channels, last_event, zone)
         ),
-        lambda: store.stage("quarantine_events", quarantine(parsed)),
+        lambda: store.stage("quarantine_events", quarantine(extracted)),
     )
     added = together(
         added_channels.count,
@@ -288,6 +296,7 @@ def ingest(
         new_videos=added[1],
         new_events=added[2],
         duplicate_events=profile["submitted"] - added[2],
+        broken_records=profile["broken"],
     )
     log = spark.createDataFrame(
         [(file_name, at, *vars(result).values(), round(time.monotonic() - began, 2))],
@@ -325,6 +334,7 @@ def _profile(extracted: DataFrame, zone: str) -> Row:
     at = F.when(loaded, F.col("watched_at"))
     seen = extracted.agg(
         *_class_counters(),
+        F.count_if(F.col("record_class") == "broken").alias("broken"),
         F.count_if(loaded).alias("submitted"),
         F.min(at).alias("first_at"),
         F.max(at).alias("last_at"),
@@ -332,6 +342,7 @@ def _profile(extracted: DataFrame, zone: str) -> Row:
     return seen.select(
         *CLASS_COUNTERS,
         "submitted",
+        "broken",
         local_date("first_at", zone).alias("first_day"),
         local_date("last_at", zone).alias("last_day"),
     ).first()

@@ -14,7 +14,7 @@ from watchloom.functions.calendar import local_date, local_hour, local_ts, span_
 from watchloom.functions.constants import LOCAL_ZONE
 from watchloom.functions.stages import funnel_stage, safe_ratio
 from watchloom.operators.activity import activity
-from watchloom.operators.ordering import HOT_GROUP_ROWS, rank_by_time
+from watchloom.operators.ordering import rank_by_time
 
 _DAY_COLUMNS = [
     "year", "quarter", "month", "month_name", "week_of_year", "day_of_week",
@@ -91,7 +91,7 @@ def etl_history(log: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
 
 
 def discovery_events(
-    events: DataFrame, channels: DataFrame, hot_rows: int = HOT_GROUP_ROWS
+    events: DataFrame, channels: DataFrame
 ) -> DataFrame:
     """Every event with its rank in its channel and its video, and first-time flags.
 
@@ -99,10 +99,10 @@ def discovery_events(
     """
     base = events.select("event_id", "video_id", "channel_id", "watched_at")
     ranked = rank_by_time(
-        base, "channel_id", "watched_at", "event_id", "channel_watch_rank", hot_rows
+        base, "channel_id", "watched_at", "event_id", "channel_watch_rank"
     )
     ranked = rank_by_time(
-        ranked, "video_id", "watched_at", "event_id", "video_watch_rank", hot_rows, source=base
+        ranked, "video_id", "watched_at", "event_id", "video_watch_rank", source=base
     )
     return ranked.join(
         channels.select("channel_id", "channel_name"), "channel_id", "left"

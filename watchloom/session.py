@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -40,7 +41,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    A machine-local folder is used only where the cluster names none, as in tests.
+    A machine-local folder is used only in local mode where none is named, as in tests. On a
+    cluster it would hold parts of a table only, so a session without shared folder is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -48,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(tempfile.gettempdir(), "watchloom-checkpoints")
 
 

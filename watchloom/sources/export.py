@@ -6,20 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.functions.metadata import iso_seconds, number_or_null
-from watchloom.sources.schemas import EXPORT_RECORD, METADATA_RESPONSE
+from watchloom.sources.schemas import BROKEN, EXPORT_RECORD, METADATA_RESPONSE
 
 
 def read_export(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
     """Records of one or many exports, each file one JSON array (or one record per line).
 
-    Files are read in parallel. ``pos`` grows along a file, so (file_name, pos) is its order.
+    Files are read in parallel. ``pos`` grows along a file, so (file_name, pos) is its order. A
+    file that is no JSON array fails the read; of a file of lines, a line that is no JSON is a
+    record with its text in ``_corrupt_record``.
     """
-    raw = spark.read.schema(EXPORT_RECORD).option("multiLine", not lines).json(path)
-    return with_position(with_file_name(raw))
+    reader = spark.read.option("multiLine", not lines)
+    if lines:
+        reader = reader.schema(f"{EXPORT_RECORD}, {BROKEN} string").option("columnNameOfCorruptRecord", BROKEN)
+    else:
+        reader = reader.schema(EXPORT_RECORD).option("mode", "FAILFAST")
+    return with_position(with_file_name(reader.json(path)))
 
 
 def with_file_name(raw: DataFrame) -> DataFrame:
-    return raw.select("*", F.col("_metadata.file_name").alias("file_name"))
+    """The whole path, as exports in different folders are mostly called alike."""
+    return raw.select("*", F.col("_metadata.file_path").alias("file_name"))
 
 
 def with_position(raw: DataFrame) -> DataFrame:
@@ -27,13 +34,27 @@ def with_position(raw: DataFrame) -> DataFrame:
     return raw.withColumn("pos", F.monotonically_increasing_id())
 
 
+def read_responses(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """landed_at, file_name, items and answered of all landed responses.
+
+    A truncated response, or one that reports an error, has no list of items and is not answered.
+    """
+    raw = (
+        spark.read.schema(f"{METADATA_RESPONSE}, {BROKEN} string")
+        .option("multiLine", True).option("columnNameOfCorruptRecord", BROKEN).json(path)
+    )
+    return raw.select(
+        F.col("_metadata.file_modification_time").alias("landed_at"),
+        F.col("_metadata.file_path").alias("file_name"),
+        F.when(F.col(BROKEN).isNull(), F.col("items")).alias("items"),
+        (F.col(BROKEN).isNull() & F.col("items").isNotNull()).alias("answered"),
+    )
+
+
 def read_metadata(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One normalized row per video over all landed responses; the newest response wins."""
-    raw = spark.read.schema(METADATA_RESPONSE).option("multiLine", True).json(path)
-    items = raw.select(
-        F.col("_metadata.file_modification_time").alias("landed_at"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.posexplode("items").alias("pos", "item"),
+    items = read_responses(spark, path).select(
+        "landed_at", "file_name", F.posexplode("items").alias("pos", "item")
     )
     row = F.struct(*normalize_item(F.col("item")))
     newest = F.max_by(row, F.struct("landed_at", "file_name", "pos"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 # Export record; ``details`` and ``subtitles`` vary in shape, so they are read as VARIANT.
 EXPORT_RECORD = "title string, titleUrl string, time string, details variant, subtitles variant"
+# Where the readers put text that is no JSON.
+BROKEN = "_corrupt_record"
 
 # One landed metadata response.
 METADATA_RESPONSE = """
@@ -48,7 +50,7 @@ TABLES = {
         file_name string, run_at timestamp_ntz, total_raw_records bigint, ads_filtered bigint,
         removed_dropped bigint, ghost_videos_kept bigint, clean_records bigint,
         new_channels bigint, new_videos bigint, new_events bigint, duplicate_events bigint,
-        duration_seconds double""",
+        broken_records bigint, duration_seconds double""",
     "enrichment_log": """
         run_at timestamp_ntz, videos_targeted bigint, videos_enriched bigint,
         videos_flipped bigint, api_units_used bigint, duration_seconds double""",
