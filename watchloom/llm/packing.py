@@ -29,9 +29,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Classes into which the pieces of a length are dealt, so that a length that most pieces have is numbered by many tasks.
 DEAL = 256
 #: Parts of words whose ids a Python worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: Bytes of text taken at a time; more would share more words and take more memory.
-SLICE = 16 << 20
+SLICE = 8 << 20
 TAIL = ".,!?;:%&*$#|"
 
 
