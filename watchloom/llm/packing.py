@@ -70,7 +70,8 @@ class WordIds:
         """Ids of distinct words as bytes, four for each id."""
         plain = words.to_pylist()
         cores = [
-            c if c and c[-1].isalnum() else w for c, w in zip(pc.ascii_rtrim(words, TAIL).to_pylist(), plain, strict=True)
+            # The last character must stay one letter or digit in lower case, too.
+            c if c and c[-1].isalnum() and len(c[-1].lower()) == 1 else w for c, w in zip(pc.ascii_rtrim(words, TAIL).to_pylist(), plain, strict=True)
         ]
         tails = [w[len(c):] for w, c in zip(plain, cores, strict=True)]
         # A special token keeps its case; it is the only word for which case matters.
