@@ -91,6 +91,14 @@ def test_line_dedup_against_brute_force(spark):
     assert got == want
 
 
+def test_repeated_rows_with_long_lines(spark):
+    """Counters of repeated rows are kept apart, or they would overflow."""
+    line = sentence(5, 1900)
+    rows = [(1, line)] * 40 + [(2, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    assert {(r.doc_id, r.line_no) for r in lines.duplicates(docs).collect()} == {(2, 1)}
+
+
 def test_long_lines(spark, monkeypatch):
     """Lines of more words than counters have room for are hashed by runs of words."""
     monkeypatch.setattr(lines, "MAX_FEATURES", 30)
