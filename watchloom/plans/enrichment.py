@@ -110,9 +110,9 @@ def enrich(
     stamp = F.lit(at).cast("timestamp_ntz")
     videos = store.read("dim_videos")
     targeted = candidates(videos).count()
-    failed = 0
+    failed = {}
     if "answered" in attempted.columns:
-        failed = attempted.where("NOT answered").select("video_id").distinct().count()
+        failed = {"unanswered": attempted.where("NOT answered").select("video_id").distinct().count()}
     attempted = answered(attempted).join(candidates(videos).select("video_id"), "video_id", "left_semi")
     updated = flip_missing(apply_metadata(videos, metadata, stamp), attempted, metadata, stamp)
     folder = store.stage("dim_videos", updated)
@@ -139,6 +139,6 @@ def enrich(
         "targeted": targeted,
         "enriched": tally["enriched"],
         "flipped": tally["flipped"],
-        "unanswered": failed,
         "remaining": targeted - tally["enriched"] - tally["flipped"],
+        **failed,
     }
