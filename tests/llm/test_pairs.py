@@ -108,6 +108,25 @@ def test_long_lines(spark, monkeypatch):
     assert got == want
 
 
+def pairs_found(spark, pairs):
+    """Which of the pairs of one-line texts lose their second line."""
+    rows = [(2 * k, a) for k, (a, _) in enumerate(pairs)] + [(2 * k + 1, b) for k, (_, b) in enumerate(pairs)]
+    got = {r.doc_id for r in lines.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return [2 * k + 1 in got for k in range(len(pairs))]
+
+
+def test_recall_of_one_changed_word(spark):
+    """One word changed, at edit similarity of 0.9 and more; no SimHash decides which pairs count."""
+    sizes, pairs = (8, 12, 20, 30, 50, 100), []
+    for n in sizes:
+        for k in range(40):
+            words = sentence(10_000 * n + k, n).split(" ")
+            at = next(i for i in [*range(k % n, n), *range(n)] if len(words[i]) <= len(" ".join(words)) // 10)
+            pairs.append((" ".join(words), " ".join([*words[:at], "0" * len(words[at]), *words[at + 1:]])))
+    found = pairs_found(spark, pairs)
+    assert all(sum(found[40 * i:40 * i + 40]) >= 38 for i in range(len(sizes))), found
+
+
 def test_lines_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").collect()]
     want, _ = brute_lines(rows)
