@@ -127,6 +127,15 @@ def test_recall_of_one_changed_word(spark):
     assert all(sum(found[40 * i:40 * i + 40]) >= 38 for i in range(len(sizes))), found
 
 
+def test_word_put_into_long_lines(spark):
+    """A word near the start of a line of any length leaves it similar."""
+    pairs = []
+    for n in (1999, 2005, 3000):
+        words = sentence(n, n).split(" ")
+        pairs.append((" ".join(words), " ".join([*words[:10], "new", *words[10:]])))
+    assert all(pairs_found(spark, pairs))
+
+
 def test_lines_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").collect()]
     want, _ = brute_lines(rows)
