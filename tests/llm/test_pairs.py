@@ -136,6 +136,15 @@ def test_word_put_into_long_lines(spark):
     assert all(pairs_found(spark, pairs))
 
 
+def test_short_lines_and_scripts_without_blanks(spark):
+    """Lines of 4-7 words with a letter changed, lines without blanks, and what stays for being short."""
+    han = "".join(chr(0x4E00 + k * 37 % 5000) for k in range(30))
+    pairs = [(a := sentence(900 + k, 4 + k % 4), a[:-1] + "0") for k in range(20)]
+    pairs += [(han, han), (han[:9], han[:9]), (han[::-1], han[::-1][:-1] + "x"), ("a" * 12 + " " + "b" * 12, "A" * 12 + ", " + "b" * 12)]
+    found = pairs_found(spark, [*pairs, ("two words", "two words"), ("yes", "yes")])
+    assert sum(found[:20]) >= 19 and all(found[20:24]) and not any(found[24:])
+
+
 def test_lines_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").collect()]
     want, _ = brute_lines(rows)
