@@ -316,6 +316,12 @@ FROM seen a JOIN focus USING (channel_id)
 JOIN seen b ON a.viewer = b.viewer AND a.session_id = b.session_id AND a.channel_id <> b.channel_id
 GROUP BY ALL"""
 
+SQL["cooccurrence_all"] = _with("vw") + "," + _sessions("vw", 45, "viewer") + """
+, seen AS (SELECT DISTINCT viewer, session_id, channel_id FROM sess)
+SELECT a.channel_id, b.channel_id AS other_channel, count(*) AS shared_sessions
+FROM seen a JOIN seen b ON a.viewer = b.viewer AND a.session_id = b.session_id AND a.channel_id < b.channel_id
+GROUP BY ALL"""
+
 # -- ingest --------------------------------------------------------------------------------
 
 SQL["record_classes"] = _with("cls") + "SELECT pos, record_class FROM cls"

@@ -182,6 +182,12 @@ def cooccurrence(t: Tables) -> DataFrame:
     return insights.cooccurrence(shared, insights.top_channels_overall(e, 5), keys=["viewer"])
 
 
+@query
+def cooccurrence_all(t: Tables) -> DataFrame:
+    shared = session_channels(t.viewer_events(), keys=["viewer"])
+    return insights.all_cooccurrence(shared, keys=["viewer"])
+
+
 # -- ingest --------------------------------------------------------------------------------
 
 
