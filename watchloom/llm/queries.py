@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import langid, lines, mixing, neardup, ngrams, packing, pii, quality, secrets, toolcalls
+from watchloom.llm import alignment, langid, lines, mixing, neardup, ngrams, packing, pii, quality, secrets, toolcalls
 
 
 def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         secrets.op8_secret_scan,
         mixing.op9_source_mix,
         toolcalls.op10_tool_calls,
+        alignment.op11_token_alignment,
     )
     return {f.__name__: f for f in found}
 
