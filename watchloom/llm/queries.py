@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import alignment, langid, lines, mixing, neardup, ngrams, packing, pii, quality, secrets, toolcalls
+from watchloom.llm import alignment, langid, licenses, lines, mixing, neardup, ngrams, packing, pii, quality, secrets, toolcalls
 
 
 def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         mixing.op9_source_mix,
         toolcalls.op10_tool_calls,
         alignment.op11_token_alignment,
+        licenses.op12_license_scan,
     )
     return {f.__name__: f for f in found}
 
@@ -33,4 +34,5 @@ def all_sql() -> dict[str, str]:
         "op7_embedding_dedup": neardup.sql(),
         "op9_source_mix": mixing.sql(),
         "op10_tool_calls": toolcalls.sql(),
+        "op12_license_scan": licenses.sql(),
     }
