@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import alignment, langid, licenses, lines, mixing, neardup, ngrams, packing, pii, quality, secrets, toolcalls
+from watchloom.llm import alignment, langid, licenses, lines, mixing, neardup, ngrams, packing, pii, quality, repair, secrets, toolcalls
 
 
 def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         toolcalls.op10_tool_calls,
         alignment.op11_token_alignment,
         licenses.op12_license_scan,
+        repair.op13_conversation_repair,
     )
     return {f.__name__: f for f in found}
 
