@@ -157,3 +157,13 @@ def test_names_of_conversations_may_be_strings(spark):
     df = spark.createDataFrame([("a", 0, "user", "Hi."), ("a", 1, "assistant", "Ho.")], "conv_id string, turn int, role string, text string")
     [r] = repair.repair(repair.damaged(df)).collect()
     assert r.conv_id == "a"
+
+
+def test_against_sql(spark):
+    import duckdb
+
+    rows = talks(21, 40, 9)
+    con = duckdb.connect()
+    con.register("conversations", spark.createDataFrame(rows, SCHEMA).toArrow())
+    want = con.sql(repair.sql()).select("conv_id", *NAMES).fetchall()
+    assert {r[0]: r[1:] for r in want} == results(spark, rows)

@@ -36,4 +36,5 @@ def all_sql() -> dict[str, str]:
         "op9_source_mix": mixing.sql(),
         "op10_tool_calls": toolcalls.sql(),
         "op12_license_scan": licenses.sql(),
+        "op13_conversation_repair": repair.sql(),
     }

@@ -509,3 +509,54 @@ def repair(rows: DataFrame) -> DataFrame:
 
 def op13_conversation_repair(spark, sf_dir: str) -> DataFrame:
     return repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def sql() -> str:
+    """The same in DuckDB, row by row: every state keeps its cheapest edits and, of several, those of least audit."""
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE ins(st, audit, said, nst) AS (VALUES
+  ('n', '', '', 'n'), ('n', 'I', chr(10) || 'user:', 'u'), ('n', 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 'a'),
+  ('s', '', '', 's'), ('s', 'I', chr(10) || 'user:', 'u'), ('s', 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 'a'),
+  ('u', '', '', 'u'), ('u', 'I', chr(10) || 'assistant:', 'a'), ('u', 'II', chr(10) || 'assistant:' || chr(10) || 'user:', 'u'),
+  ('a', '', '', 'a'), ('a', 'I', chr(10) || 'user:', 'u'), ('a', 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 'a')),
+raw AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS name
+  FROM conversations),
+hit AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, name), lambda c, b: list_reduce(
+    list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+  )), 4294967295::BIGINT) % 20 AS hit FROM raw),
+after AS (SELECT k, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS u(copy) WHERE hit <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS init,
+    rtrim(text, {spaces}) AS bare FROM after),
+rows AS (SELECT *, CASE WHEN bare = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(init) OVER (PARTITION BY k ORDER BY i) || init AS pair FROM placed),
+best AS (
+  SELECT DISTINCT k, 0::BIGINT AS i, 'n' AS st, {{'cost': 0::BIGINT, 'audit': '', 'said': ''}} AS v FROM raw
+  UNION ALL
+  SELECT k, i, st, min(v) AS v FROM (
+    SELECT r.k, r.i, m.st, {{'cost': b.v.cost + {INSERT} * length(ins.audit) + m.cost, 'audit': b.v.audit || ins.audit || m.letter,
+      'said': b.v.said || ins.said || m.said}} AS v
+    FROM best b JOIN rows r ON r.k = b.k AND r.i = b.i + 1 JOIN ins ON ins.st = b.st,
+    LATERAL (
+      SELECT ins.nst AS st, 'D' AS letter, {DELETE} AS cost, '' AS said
+      UNION ALL SELECT r.init, 'K', (r.fault = 'truncated')::INT, chr(10) || r.role || ':' || r.text
+        WHERE r.fault IN ('', 'truncated') AND (ins.nst || r.init IN ('ns', 'nu', 'su', 'au', 'ua'))
+      UNION ALL SELECT CASE ins.nst WHEN 'u' THEN 'a' ELSE 'u' END, 'R', {REROLE} + (r.fault = 'truncated')::INT,
+        chr(10) || CASE ins.nst WHEN 'u' THEN 'assistant:' ELSE 'user:' END || r.text
+        WHERE r.fault IN ('', 'truncated')) AS m)
+  GROUP BY k, i, st),
+size AS (SELECT raw.k, any_value(conv_id) AS conv_id, (SELECT count(*) FROM rows WHERE rows.k = raw.k) AS n FROM raw GROUP BY raw.k),
+done AS (SELECT size.k, min({{'cost': v.cost + {INSERT} * length(ins.audit), 'audit': v.audit || ins.audit, 'said': v.said || ins.said}}) AS v
+  FROM size JOIN best ON best.k = size.k AND best.i = size.n JOIN ins ON ins.st = best.st WHERE ins.nst IN ('n', 'a') GROUP BY size.k),
+counts AS (SELECT k, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, done.v.cost::BIGINT AS cost,
+  done.v.audit AS audit, sha256(substr(done.v.said, 2)) AS repaired_sha256
+FROM size JOIN done ON done.k = size.k LEFT JOIN counts ON counts.k = size.k"""
