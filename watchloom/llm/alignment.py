@@ -12,6 +12,7 @@ import re
 import sys
 import types
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from watchloom.session import materialize
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pieces of text whose alignment a Python worker remembers, and bytes of text taken at a time.
-REMEMBERED, SLICE = 400_000, 4 << 20
+REMEMBERED, SLICE = 400_000, 2 << 20
+#: Pieces that are encoded in one go.
+RUN = 32
 #: Pairs in more than one of so many of all (document, pair) rows are settled without a shuffle. There are at most as many.
 FREQUENT = 1 << 17
 #: In front of a blank or a line feed that follows anything but white space, both tokenizers start anew.
@@ -74,117 +77,141 @@ class Aligner:
         # Cuts are exact if no piece of B reaches over one. A starts anew at white space in any case.
         self.cuts = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces)
         self.blank = self.b.piece_to_id(BLANK)
-        self.name_a = [str(n) for n in range(self.size_a)]
-        self.name_b = [str(n) for n in range(self.size_b)]
+        # How ids are written in a group: inside, and as the last of their side.
+        self.names = [
+            np.array([f"{n}{mark}" for n in range(size)], dtype=object) for size in (self.size_a, self.size_b) for mark in (",", "|;"[size == self.size_b])
+        ]
+        self.long_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
+        self.long_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        #: Per piece: its groups as text with a closing semicolon, empty where its bytes are not kept.
         self.texts: list[bytes] = []
-        #: Per piece: whether its bytes are kept, numbers of tokens, groups, links; then where its codes begin and how many.
+        #: Per piece: whether its bytes are kept, numbers of tokens of A and of B, of groups and of links.
         self.counts = np.empty((0, 5), dtype=np.int64)
-        self.begins, self.lengths = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        self.codes, self.times = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        #: Where the links of each piece begin, and all links as id of A * size_b + id of B.
+        self.begins, self.codes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     def split(self, text: str) -> list[str]:
         return CUT.split(" " + text) if self.cuts else [" " + text]
 
     def ids(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids by A and by B of pieces of text, each with the blank or line feed that it starts with."""
+        """Ids by A and by B of stretches of text, each with the blank or line feed that it starts with."""
         own = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
         # B puts a blank in front itself. Before a line feed, with which it merges nothing, that is a token to take off.
         raw = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
         other = [(x or [self.blank]) if p[0] == " " else x[1:] for p, x in zip(parts, raw, strict=True)]
         return own, other
 
-    def align(self, a: list[int], b: list[int]) -> tuple[int, dict[int, int], str]:
-        """(groups, links by code a * size_b + b, groups as text) of ids that come to the same bytes."""
-        end_a, end_b = len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-        i = j = first_i = first_j = 0
-        links: dict[int, int] = {}
-        groups = []
-        while True:
-            # Here both tokens overlap; the one that ends first makes way for the next.
-            code = a[i] * self.size_b + b[j]
-            links[code] = links.get(code, 0) + 1
-            if end_a < end_b:
-                i += 1
-                end_a += len(self.bytes_a[a[i]])
-            elif end_b < end_a:
-                j += 1
-                end_b += len(self.bytes_b[b[j]])
-            else:
-                i, j = i + 1, j + 1
-                left, right = a[first_i:i], b[first_j:j]
-                groups.append(",".join([self.name_a[x] for x in left]) + "|" + ",".join([self.name_b[x] for x in right]))
-                if i == len(a) or j == len(b):
-                    return len(groups), links, ";".join(groups)
-                first_i, first_j = i, j
-                end_a += len(self.bytes_a[a[i]])
-                end_b += len(self.bytes_b[b[j]])
-
     def learn(self, parts: list[str]) -> None:
         """Aligns new pieces of text."""
-        counts, codes, times, lengths = [], [], [], []
-        for low in range(0, len(parts), 4096):
-            some = parts[low:low + 4096]
-            for part, a, b in zip(some, *self.ids(some), strict=True):
-                want = part.encode()
-                if b"".join([self.bytes_a[x] for x in a]) == want and b"".join([self.bytes_b[x] for x in b]) == want:
-                    n, links, text = self.align(a, b)
-                    counts.append((1, len(a), len(b), n, sum(links.values())))
-                    codes.extend(links)
-                    times.extend(links.values())
-                    lengths.append(len(links))
+        if self.cuts:
+            # Pieces are cut where both tokenizers start anew, so that several in a row are encoded in one go, but for those
+            # that end in white space: they ended a text.
+            bare = [p for p in parts if not p[-1].isspace()]
+            runs = [bare[k:k + RUN] for k in range(0, len(bare), RUN)] + [[p] for p in parts if p[-1].isspace()]
+        else:
+            runs = [[p] for p in parts]
+        for low in range(0, len(runs), 4096 // RUN):
+            some = runs[low:low + 4096 // RUN]
+            good, bad = [], []
+            for run, a, b in zip(some, *self.ids(["".join(run) for run in some]), strict=True):
+                want = "".join(run).encode()
+                kept = b"".join([self.bytes_a[x] for x in a]) == want and b"".join([self.bytes_b[x] for x in b]) == want
+                (good if kept else bad).append((run, a, b))
+            if good:
+                self.align(*zip(*good, strict=True))
+            for run, *_ in bad:
+                if len(run) > 1:
+                    for p, a, b in zip(run, *self.ids(run), strict=True):
+                        want = p.encode()
+                        if b"".join([self.bytes_a[x] for x in a]) == want and b"".join([self.bytes_b[x] for x in b]) == want:
+                            self.align([[p]], [a], [b])
+                        else:
+                            self.add([p], np.zeros((1, 5), dtype=np.int64), [b""], np.empty(0, dtype=np.int64))
                 else:
-                    text = ""
-                    counts.append((0, 0, 0, 0, 0))
-                    lengths.append(0)
-                self.known[part] = len(self.texts)
-                self.texts.append(text.encode())
-        fresh = np.array(lengths, dtype=np.int64)
-        self.begins = np.concatenate([self.begins, len(self.codes) + np.cumsum(fresh) - fresh])
-        self.lengths = np.concatenate([self.lengths, fresh])
-        self.counts = np.concatenate([self.counts, np.array(counts, dtype=np.int64).reshape(-1, 5)])
-        self.codes = np.concatenate([self.codes, np.array(codes, dtype=np.int64)])
-        self.times = np.concatenate([self.times, np.array(times, dtype=np.int64)])
+                    self.add(run, np.zeros((1, 5), dtype=np.int64), [b""], np.empty(0, dtype=np.int64))
+
+    def add(self, parts: list[str], counts: np.ndarray, texts: list[bytes], codes: np.ndarray) -> None:
+        """Remembers pieces with their links in a row."""
+        self.known.update(zip(parts, range(len(self.texts), len(self.texts) + len(parts)), strict=True))
+        self.texts += texts
+        self.fresh.append((counts, codes))
+
+    def align(self, runs: list[list[str]], a: list[list[int]], b: list[list[int]]) -> None:
+        """Groups and links of runs of pieces whose ids come to the same bytes, for all of them at once."""
+        parts = [p for run in runs for p in run]
+        a, b = np.fromiter(chain.from_iterable(a), np.int64), np.fromiter(chain.from_iterable(b), np.int64)
+        # Places in the bytes of all pieces in a row.
+        ends_a, ends_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
+        ends = np.cumsum(np.array([len(p.encode()) for p in parts], dtype=np.int64))
+        to_a, to_b = np.searchsorted(ends_a, ends) + 1, np.searchsorted(ends_b, ends) + 1
+        if not (np.array_equal(ends_a[to_a - 1], ends) and np.array_equal(ends_b[to_b - 1], ends)):
+            raise ValueError("a token reaches over a cut")
+        # Where a token of each side ends, a group ends.
+        last_a, last_b = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a, ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        # A token of A is linked to those of B from the one that covers its first byte to the one that covers its last.
+        first = np.searchsorted(ends_b, ends_a - self.long_a[a], side="right")
+        number = np.searchsorted(ends_b, ends_a) - first + 1
+        linked = np.repeat(first - (np.cumsum(number) - number), number) + np.arange(number.sum())
+        codes = np.repeat(a * self.size_b, number) + b[linked]
+
+        def per_part(values: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(values)])[to_a]
+            return np.diff(total, prepend=0)
+
+        counts = np.stack([np.ones(len(parts), np.int64), np.diff(to_a, prepend=0), np.diff(to_b, prepend=0), per_part(last_a), per_part(number)], axis=1)
+        # A group is written as its ids of A, then its ids of B.
+        sizes_a, sizes_b = np.bincount(group_a), np.bincount(group_b)
+        written = np.empty(len(a) + len(b), dtype=object)
+        written[np.arange(len(a)) + (np.cumsum(sizes_b) - sizes_b)[group_a]] = np.where(last_a, self.names[1][a], self.names[0][a])
+        written[np.arange(len(b)) + np.cumsum(sizes_a)[group_b]] = np.where(last_b, self.names[3][b], self.names[2][b])
+        own = [0, *(to_a + to_b).tolist()]
+        written = written.tolist()
+        self.add(parts, counts, ["".join(written[s:e]).encode() for s, e in zip(own, own[1:])], codes)
 
     def of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(tokens of A and B, groups and links by text; digests; text, code and number of links, sorted by both)."""
         split = [self.split(t) if t else [] for t in texts]
-        fresh = {p for parts in split for p in parts if p not in self.known}
+        fresh = set().union(*split).difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
             self.forget()
-            fresh = {p for parts in split for p in parts}
+            fresh = set().union(*split)
         if fresh:
+            self.fresh = []
             self.learn(list(fresh))
-        numbers = [[self.known[p] for p in parts] for parts in split]
-        sums = np.zeros((len(texts), 4), dtype=np.int64)
-        digests, good = [], []
-        for row, own in enumerate(numbers):
-            some = self.counts[own].sum(axis=0) if own else np.zeros(5, np.int64)
-            # One piece that does not come back as it was takes the whole text with it.
-            if own and some[0] == len(own):
-                sums[row] = some[1:]
-                digests.append(hashlib.sha256(b";".join([self.texts[n] for n in own])).hexdigest())
-                good.append(row)
-            else:
-                digests.append("")
-        if not good:
-            none = np.empty(0, dtype=np.int64)
-            return sums, digests, none, none, none
-        place = np.concatenate([np.array(numbers[r], dtype=np.int64) + (r << 32) for r in good])
-        place, often = np.unique(place, return_counts=True)
+            self.counts = np.concatenate([self.counts, *[c for c, _ in self.fresh]])
+            self.codes = np.concatenate([self.codes, *[c for _, c in self.fresh]])
+            self.begins = np.cumsum(self.counts[:, 4]) - self.counts[:, 4]
+        numbers = [list(map(self.known.__getitem__, parts)) for parts in split]
+        sizes = np.array([len(n) for n in numbers], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(numbers), np.int64, count=int(sizes.sum()))
+        rows = np.repeat(np.arange(len(texts)), sizes)
+        sums = np.zeros((len(texts), 5), dtype=np.int64)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            sums[full] = np.add.reduceat(self.counts[flat], (np.cumsum(sizes) - sizes)[full])
+        # One piece that does not come back as it was takes the whole text with it.
+        good = (sizes > 0) & (sums[:, 0] == sizes)
+        sums[~good] = 0
+        digests = [
+            hashlib.sha256(b"".join(map(self.texts.__getitem__, own))[:-1]).hexdigest() if ok else "" for own, ok in zip(numbers, good, strict=True)
+        ]
+        place, often = np.unique(((rows << 32) + flat)[good[rows]], return_counts=True)
         row, piece = place >> 32, place & 0xFFFFFFFF
-        length = self.lengths[piece]
+        length = self.counts[piece, 4]
         at = np.arange(length.sum()) + np.repeat(self.begins[piece] - (np.cumsum(length) - length), length)
         # A code has 31 bits.
         key = (np.repeat(row, length) << 32) + self.codes[at]
-        number = np.repeat(often, length) * self.times[at]
-        order = np.argsort(key, kind="stable")
+        number = np.repeat(often, length)
+        order = np.argsort(key)
         key, number = key[order], number[order]
         starts = np.flatnonzero(np.diff(key, prepend=-1))
-        return sums, digests, key[starts] >> 32, key[starts] & 0xFFFFFFFF, np.add.reduceat(number, starts)
+        times = np.add.reduceat(number, starts) if len(starts) else number
+        return sums[:, 1:], digests, key[starts] >> 32, key[starts] & 0xFFFFFFFF, times
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
