@@ -6,8 +6,9 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``materialize`` whose tables go when the block ends; what leaves the block must not read them any more."""
+    names: list[str] = []
+
+    def own(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        names.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield own
+    finally:
+        for path in names:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark can reach it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def together(*jobs: Callable[[], Any]) -> list[Any]:
     """Runs independent Spark actions side by side, so that small jobs share the executors."""
     with ThreadPoolExecutor(len(jobs)) as pool:
