@@ -336,3 +336,54 @@ def test_vector_dedup_against_brute_force(spark, monkeypatch, block):
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neardup.near_duplicates(df).count() == 0
+
+
+def test_cosines_at_the_threshold(spark):
+    """Integer vectors at exactly 0.9, turned by other vectors beside them, and pairs just below."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(60):
+        at = rng.permutation(32)[:4]
+        a, b = np.zeros(32), np.zeros(32)
+        a[at[0]], b[at] = 1 + k % 3, np.array([9, 3, 3, 1]) * (1 + k % 5)
+        rows += [a, b]
+    for k in range(20):
+        at = rng.permutation(32)[:2]
+        a, b = np.zeros(32), np.zeros(32)
+        a[at[0]], b[at] = 1.0, [0.9 - 1e-10 * (k % 2), np.sqrt(1 - (0.9 - 1e-10 * (k % 2)) ** 2)]
+        rows += [a, b]
+    x = np.array(rows)
+    norms = np.sqrt((x ** 2).sum(axis=1))
+    cosine = (x @ x.T) / (norms[:, None] * norms[None])
+    want = (cosine >= 0.9).sum(axis=1) - 1
+    assert want.sum() > 200 and ((np.abs(cosine - 0.9) < 1e-9) & (cosine < 0.9)).any()
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(df).collect()}
+    assert [got[k] for k in range(len(rows))] == want.tolist()
+
+
+def test_hubs_and_scratch(spark, tmp_path):
+    """A star of many leaves, joined by broadcast, and no table of a round left over."""
+    import os
+
+    from watchloom import session
+
+    edges = spark.range(1, 100_001).selectExpr("0L AS a", "id AS b").union(spark.createDataFrame([(200_001, 200_000)], "a long, b long"))
+    before = set(os.listdir(session.shared_dir(spark)))
+    roots = common.components(edges, "star")
+    assert roots.groupBy("root").count().orderBy("root").collect() == [(0, 100_001), (200_000, 2)]
+    assert len(set(os.listdir(session.shared_dir(spark))) - before) == 1
+    lows = spark.createDataFrame([(0, 0, 100_000), (5, 1, 2)], "a long, low long, n long")
+    plan = common.lowered(edges, lows, 100_001)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_line_dedup_leaves_no_scratch(spark):
+    import os
+
+    from watchloom import session
+
+    docs = spark.createDataFrame([(1, "one line here\nsame again"), (2, "Same again!")], "doc_id long, text string")
+    before = set(os.listdir(session.shared_dir(spark)))
+    assert lines.duplicates(docs).count() == 1
+    assert len(set(os.listdir(session.shared_dir(spark))) - before) == 1  # the result itself

@@ -7,15 +7,16 @@ A tile returns counts and a spanning forest of its links, not the links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.llm.common import components, local_components
-from watchloom.session import materialize
+from watchloom.session import materialize, scratch
 
 THRESHOLD = 0.9
 #: Vectors of a block, axes added at a time, and the width of a slab.
@@ -26,41 +27,54 @@ EASE = 1e-6
 STRIP = 512
 
 
-def unit_vectors(df: DataFrame) -> DataFrame:
-    """``id`` and ``v`` of the rows that can link: vectors of finite components, not all zero, scaled to length 1."""
+def usable_vectors(df: DataFrame) -> DataFrame:
+    """``id`` and ``v`` of the rows that can link: vectors of finite components, not all zero.
+
+    They are multiplied by a power of two, which changes no digit and no cosine, so that no product leaves the range.
+    """
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                if not v or any(x is None for x in v):
-                    continue
-                a = np.array(v, dtype=np.float64)
-                top = np.abs(a).max()
-                if not np.isfinite(top) or top == 0:
-                    continue
-                a = a / top
-                ids.append(i)
-                out.append(a / np.sqrt(a @ a))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=["id", "v"]
-            )
+            column = batch.column("v")
+            # Null rows may stand over values; they count as empty.
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = column.flatten()
+            bad = ~np.isfinite(pc.fill_null(flat, np.nan).to_numpy(zero_copy_only=False))
+            values = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            top, spoilt = np.zeros(len(sizes)), np.zeros(len(sizes), dtype=bool)
+            spoilt[row[bad]] = True
+            np.maximum.at(top, row[~bad], np.abs(values[~bad]))
+            keep = (top > 0) & ~spoilt
+            scale = np.ldexp(1.0, -np.frexp(np.where(keep, top, 1.0))[1] // 2)
+            kept = keep[row]
+            # In two steps, as the whole power may not be a number.
+            values = values[kept] * scale[row[kept]]
+            values = values * np.ldexp(1.0, -np.frexp(np.where(keep, top * scale, 1.0))[1])[row[kept]]
+            offsets = np.concatenate([[0], np.cumsum(sizes[keep])])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("id").filter(pa.array(keep)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)),
+            ], names=["id", "v"])
 
     return df.mapInArrow(plain, "id long, v array<double>")
 
 
-def principal_axes(units: DataFrame, size: int) -> np.ndarray:
+def units(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x ** 2).sum(axis=1, keepdims=True))
+
+
+def principal_axes(vectors: DataFrame, size: int) -> np.ndarray:
     """Axes by falling second moment, from one sum per partition."""
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
         for batch in batches:
             for low in range(0, batch.num_rows, BLOCK):
-                x = matrix(batch.column("v").slice(low, BLOCK), size)
+                x = units(matrix(batch.column("v").slice(low, BLOCK), size))
                 total += x.T @ x
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(size * size, dtype=np.int32)), pa.array(total.ravel())], names=["cell", "part"]
         )
 
-    cells = units.mapInArrow(moments, "cell int, part double").groupBy("cell").agg(F.sum("part").alias("part"))
+    cells = vectors.mapInArrow(moments, "cell int, part double").groupBy("cell").agg(F.sum("part").alias("part"))
     total = np.zeros(size * size)
     for row in cells.collect():  # one small matrix
         total[row.cell] = row.part
@@ -72,13 +86,16 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, size)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of ``a`` and ``b`` with a product of at least ``threshold``; each pair once if they are the same.
+def tile_links(x: np.ndarray, y: np.ndarray, axes: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of ``x`` and ``y`` with a cosine of at least ``threshold``; each pair once if they are the same.
 
-    Products grow axis by axis. A pair is dropped as soon as what it has, and the product of the norms of what is left,
-    cannot reach the threshold.
+    Products of the turned unit vectors grow axis by axis. A pair is dropped as soon as what it has, and the product of the
+    norms of what is left, cannot reach the threshold. Turning rounds, so pairs within ``EASE`` of the threshold are settled
+    by the vectors as they came.
     """
+    a, b = units(x) @ axes, units(y) @ axes
     size = a.shape[1]
+    norms_x, norms_y = np.sqrt((x ** 2).sum(axis=1)), np.sqrt((y ** 2).sum(axis=1))
     cuts = [*range(STEP, size, STEP), size]
     tails_a = [np.sqrt((a[:, c:] ** 2).sum(axis=1)) for c in cuts]
     tails_b = [np.sqrt((b[:, c:] ** 2).sum(axis=1)) for c in cuts]
@@ -95,49 +112,53 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tu
         for k in range(1, len(cuts)):
             if not len(i):
                 break
-            axes = slice(cuts[k - 1], cuts[k])
+            step = slice(cuts[k - 1], cuts[k])
             for part in range(0, len(i), 1 << 16):  # bounds the memory of the gathered rows
                 s = slice(part, part + (1 << 16))
-                got[s] += np.einsum("ij,ij->i", rows[i[s], axes], b[j[s], axes])
+                got[s] += np.einsum("ij,ij->i", rows[i[s], step], b[j[s], step])
             stay = got + tails_a[k][low + i] * tails_b[k][j] >= least
             i, j, got = i[stay], j[stay], got[stay]
+        edge = np.flatnonzero(np.abs(got - threshold) <= EASE)
+        for part in range(0, len(edge), 1 << 16):
+            some = edge[part:part + (1 << 16)]
+            one, two = low + i[some], j[some]
+            got[some] = np.einsum("ij,ij->i", x[one], y[two]) / (norms_x[one] * norms_y[two])
         sure = got >= threshold
         left.append(i[sure] + low)
         right.append(j[sure])
     return np.concatenate([*left, np.empty(0, int)]), np.concatenate([*right, np.empty(0, int)])
 
 
-def links(df: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def links(df: DataFrame, threshold: float, own: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """((id, n), (a, b)): numbers of links by id, and edges that join what is linked; of ``df`` (id, v).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors of
     different lengths with each other.
     """
-    units = materialize(unit_vectors(df), "units")
+    vectors = own(usable_vectors(df), "vectors")
     parts = [
-        _links_of_size(units.where(F.size("v") == r.size), r.size, threshold)
-        for r in units.groupBy(F.size("v").alias("size")).count().orderBy("size").collect()
+        _links_of_size(vectors.where(F.size("v") == r.size), r.size, threshold, own)
+        for r in vectors.groupBy(F.size("v").alias("size")).count().orderBy("size").collect()
     ]
-    found = parts[0] if parts else units.sparkSession.createDataFrame([], "id long, n long, other long")
+    found = parts[0] if parts else vectors.sparkSession.createDataFrame([], "id long, n long, other long")
     for p in parts[1:]:
         found = found.union(p)
-    found = materialize(found, "tiles")
+    found = own(found, "tiles")
     counts = found.where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
     return counts, found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
-def _links_of_size(units: DataFrame, size: int, threshold: float) -> DataFrame:
-    axes = principal_axes(units, size)
+def _links_of_size(vectors: DataFrame, size: int, threshold: float, own: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    axes = principal_axes(vectors, size)
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column("v"), size) @ axes
+            along = units(matrix(batch.column("v"), size)) @ axes[:, 0]
             yield pa.RecordBatch.from_arrays([
-                batch.column("id"), pa.array(list(x), pa.list_(pa.float64())),
-                pa.array(np.floor(x[:, 0] / SLAB).astype(np.int32)),
+                batch.column("id"), batch.column("v"), pa.array(np.floor(along / SLAB).astype(np.int32)),
             ], names=["id", "v", "slab"])
 
-    turned = materialize(units.mapInArrow(turn, "id long, v array<double>, slab int"), "turned")
+    turned = own(vectors.mapInArrow(turn, "id long, v array<double>, slab int"), "slabs")
     # A slab's rows, and so its blocks: one row for each tenth between -1 and 1.
     blocks = {r.slab: -(-r["count"] // BLOCK) for r in turned.groupBy("slab").count().collect()}
     # Vectors of a pair differ by at most this on any axis.
@@ -145,12 +166,12 @@ def _links_of_size(units: DataFrame, size: int, threshold: float) -> DataFrame:
     near = {
         s: [(t, n) for t, n in sorted(blocks.items()) if abs(s - t) <= reach] for s in blocks
     }
-    own = F.create_map(*[F.lit(x) for s, n in sorted(blocks.items()) for x in (s, n)]) if blocks else F.lit(None)
+    mine = F.create_map(*[F.lit(x) for s, n in sorted(blocks.items()) for x in (s, n)]) if blocks else F.lit(None)
     others = F.create_map(*[
         x for s in sorted(near)
         for x in (F.lit(s), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(n).alias("n")) for t, n in near[s]]))
     ]) if blocks else F.lit(None)
-    placed = turned.withColumn("block", F.pmod(F.xxhash64("id", "v"), own[F.col("slab")]).cast("int"))
+    placed = turned.withColumn("block", F.pmod(F.xxhash64("id", "v"), mine[F.col("slab")]).cast("int"))
     # Each row goes to the tiles of its block: with itself, and with every block of a near slab.
     tiles = placed.select("id", "v", "slab", "block", F.explode(others[F.col("slab")]).alias("o")).select(
         "id", "v", "slab", "block", F.col("o.t").alias("t"), F.explode(F.sequence(F.lit(0), F.col("o.n") - 1)).alias("k")
@@ -169,7 +190,7 @@ def _links_of_size(units: DataFrame, size: int, threshold: float) -> DataFrame:
         x = matrix(table.column("v").combine_chunks(), size)
         first = np.flatnonzero(~second)
         other = first if same else np.flatnonzero(second)
-        i, j = tile_links(x[first], x[other], same, threshold)
+        i, j = tile_links(x[first], x[other], axes, same, threshold)
         i, j = first[i], other[j]
         counts = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
         root = local_components(len(ids), i, j)
@@ -194,8 +215,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     usable = rows.where("vec_id IS NOT NULL").select(
         F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")
     )
-    counts, edges = links(usable, threshold)
-    roots = components(edges, "vector-components")
+    with scratch(df.sparkSession) as own:
+        counts, edges = links(usable, threshold, own)
+        counts, roots = materialize(counts, "vector-links"), components(edges, "vector-components")
     found = (
         rows.select("vec_id").join(counts.withColumnRenamed("id", "vec_id"), "vec_id", "left")
         .join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
