@@ -68,25 +68,28 @@ class WordIds:
 
     def of_words(self, words: pa.Array) -> list[bytes]:
         """Ids of distinct words as bytes, four for each id."""
-        plain = words.to_pylist()
-        cores = [
-            # The last character must stay one letter or digit in lower case, too.
-            c if c and c[-1].isalnum() and len(c[-1].lower()) == 1 else w for c, w in zip(pc.ascii_rtrim(words, TAIL).to_pylist(), plain, strict=True)
-        ]
-        tails = [w[len(c):] for w, c in zip(plain, cores, strict=True)]
+        bare = pc.ascii_rtrim(words, TAIL)
+        # The last character must stay one letter or digit in lower case, too.
+        fits = pc.and_(pc.match_substring_regex(bare, r"[\p{L}\p{N}]$"), pc.invert(pc.ends_with(bare, "\u0130")))
+        cores = pc.if_else(fits, bare, words)
+        long = (pc.binary_length(words).to_numpy(zero_copy_only=False) - pc.binary_length(cores).to_numpy(zero_copy_only=False))
+        tailed = np.flatnonzero(long)
+        tails = [w[-k:] for w, k in zip(words.take(pa.array(tailed)).to_pylist(), long[tailed].tolist(), strict=True)]
         # A special token keeps its case; it is the only word for which case matters.
-        cores = [c.lower() if c.isascii() and c.isalpha() else c for c in cores]
+        cores = pc.if_else(pc.match_substring_regex(cores, "^[A-Za-z]+$"), pc.ascii_lower(cores), cores).dictionary_encode()
+        parts = cores.dictionary.to_pylist()
         memory = self.memory
-        fresh = [p for p in {*cores, *tails} if p not in memory]
+        fresh = [p for p in {*parts, *tails} if p not in memory]
         if len(memory) + len(fresh) > REMEMBERED:
             memory.clear()
-            fresh = list({*cores, *tails})
+            fresh = list({*parts, *tails})
         for low in range(0, len(fresh), 4096):
             some = fresh[low:low + 4096]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 memory[p] = array("I", e.ids).tobytes()
-        get = memory.__getitem__
-        return [get(c) + get(t) if t else get(c) for c, t in zip(cores, tails, strict=True)]
+        ids = np.array([*map(memory.__getitem__, parts), b""], dtype=object)[cores.indices.to_numpy(zero_copy_only=False)]
+        ids[tailed] += np.array([*map(memory.__getitem__, tails), b""], dtype=object)[:-1]
+        return ids.tolist()
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -124,19 +127,20 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
         for batch in batches:
             for part in text_slices(batch, "text", SLICE):
                 flat, counts = words.of_texts(part.column("text"))
-                ends = np.cumsum(counts)
-                rows, number, start, length, check, ids = [], [], [], [], [], []
-                for row, (end, count) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
-                    own = np.append(flat[end - count:end], np.uint32(END)).astype("<u4")
-                    for n, low in enumerate(range(0, len(own), capacity)):
-                        some = own[low:low + capacity]
-                        rows.append(row)
-                        number.append(n)
-                        start.append(low)
-                        length.append(len(some))
-                        check.append(zlib.crc32(some.tobytes()))
-                        if with_ids:
-                            ids.append(some.astype(np.int64))
+                # Each document's ids and its end.
+                bounds = np.cumsum(counts)
+                flat = np.insert(flat, bounds, END).astype("<u4", copy=False)
+                sizes = counts + 1
+                bounds = np.cumsum(sizes)
+                often = -(-sizes // capacity)
+                rows = np.repeat(np.arange(len(sizes)), often)
+                number = np.arange(len(rows)) - np.repeat(np.cumsum(often) - often, often)
+                start = number * capacity
+                length = np.minimum(sizes[rows] - start, capacity)
+                begin = (bounds - sizes)[rows] + start
+                spans = list(zip(begin.tolist(), (begin + length).tolist(), strict=True))
+                check = [zlib.crc32(flat[low:high]) for low, high in spans]
+                ids = [flat[low:high].astype(np.int64) for low, high in spans] if with_ids else []
                 columns = [
                     part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()),
                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(check, pa.int64()),
