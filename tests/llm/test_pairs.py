@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from itertools import combinations
@@ -64,6 +65,16 @@ def print_of(line, k):
     return sum(1 << b for b in range(64) if sum(-w if v >> b & 1 else w for w, _, v in votes) > 0)
 
 
+def meet(a, b, one, two):
+    """Whether two blocks are equal under a key whose classes of length do not part the lines."""
+    choices = list(combinations(range(lines.BLOCKS), lines.EQUAL))
+    sizes = [math.log(len(n)) / (-math.log(lines.SIMILARITY) * lines.CLASS) for n in (a, b)]
+    return any(
+        all(one[x] == two[x] for x in chosen) and math.floor(sizes[0] + k / len(choices)) == math.floor(sizes[1] + k / len(choices))
+        for k, chosen in enumerate(choices)
+    )
+
+
 def brute_lines(rows):
     """Lines that go, by all pairs of SimHashes and edit distances; and the pairs that hang together."""
     spots = []
@@ -72,10 +83,12 @@ def brute_lines(rows):
             if plain(line):
                 spots.append(((doc is None, doc or 0, k), (doc, k), plain(line)))
     texts = sorted({n for *_, n in spots})
-    prints = {n: [print_of(n, k) for k in range(lines.PRINTS)] for n in texts}
+    prints = {n: [print_of(n, k) for k in range(lines.BLOCKS)] for n in texts}
     edges = [
         (a, b) for a, b in combinations(texts, 2)
-        if abs(len(a) - len(b)) <= max(len(a), len(b)) // 9 and any((x ^ y).bit_count() <= lines.DISTANCE for x, y in zip(prints[a], prints[b]))
+        if abs(len(a) - len(b)) <= max(len(a), len(b)) // 9 and meet(a, b, prints[a], prints[b])
+        and (min(len(set(n.split(" "))) for n in (a, b)) <= lines.FEW
+             or lines.SHARED * len(set(a.split(" ")) & set(b.split(" "))) >= min(len(set(n.split(" "))) for n in (a, b)))
         and distance(a, b) <= int(max(len(a), len(b)) * (1 - lines.SIMILARITY) + 1e-9)
     ]
     roots = components_of(texts, edges)
@@ -144,7 +157,7 @@ def test_simhashes_of_slices(monkeypatch):
     assert (lines.simhashes(pa.array(names)) == whole).all()
     for k in (0, 5, 39, 40, 41):
         assert (lines.simhashes(pa.array([names[k]]))[0] == whole[k]).all()
-        assert [int(x) & 2**64 - 1 for x in whole[k]] == [print_of(names[k], j) for j in range(lines.PRINTS)]
+        assert [int(x) & 2**64 - 1 for x in whole[k]] == [print_of(names[k], j) for j in range(lines.BLOCKS)]
 
 
 def pairs_found(spark, pairs):
@@ -155,8 +168,8 @@ def pairs_found(spark, pairs):
 
 
 #: Least recall of pairs at edit similarity of 0.9 and more, by kind of change; each holds in each band of lengths. Letters
-#: that are scattered over 8 % of a line change every second word, which words cannot bear well.
-RECALL = {"words": 0.96, "letters 1 %": 0.92, "letters 4 %": 0.88, "letters 8 %": 0.74}
+#: that are scattered over a line change many words, which words cannot bear well; README has the figures.
+RECALL = {"words": 0.92, "letters 1 %": 0.78, "letters 4 %": 0.66, "letters 8 %": 0.35}
 BANDS = ((20, 60), (60, 120), (120, 300), (300, 800))
 
 
@@ -193,7 +206,7 @@ def test_recall_on_real_lines(spark):
     import pyarrow as pa
 
     a, b = (lines.simhashes(pa.array([p[k] for p in pairs])).view(np.uint64) for k in (0, 1))
-    near = (np.bitwise_count(a ^ b) <= lines.DISTANCE).any(axis=1)
+    near = (a == b).sum(axis=1) >= lines.EQUAL
     recall = {cell: near[150 * k:150 * k + 150].mean() for k, cell in enumerate(cells)}
     assert all(r >= RECALL[kind] for (kind, _), r in recall.items()), recall
     # What SimHashes bring together is found by the joins too.
