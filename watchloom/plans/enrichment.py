@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from watchloom.functions.constants import REQUEST_SIZE, REQUESTS_PER_DAY
 from watchloom.operators.ordering import batch_number, quota_head
 from watchloom.operators.upserts import missing, update_from
-from watchloom.sources.store import Store
+from watchloom.sources.store import Store, retried
 
 METADATA_FIELDS = [
     "description", "tags", "category_id", "duration_seconds", "view_count", "like_count",
@@ -103,12 +103,18 @@ def enrich(
     """Applies landed responses to the video snapshot and logs the run.
 
     Only candidates among the attempted videos are flipped, and only if their request was
-    answered; the others are reported as unanswered and stay candidates.
+    answered; the others are reported as unanswered and stay candidates. If the videos changed meanwhile, the
+    responses are applied to them as they are then.
     """
+    return retried(lambda: _enrich(store, metadata, attempted, now))
+
+
+def _enrich(store: Store, metadata: DataFrame, attempted: DataFrame, now: datetime | None) -> dict[str, int]:
     began = time.monotonic()
     at = now or datetime.now(UTC).replace(tzinfo=None)
     stamp = F.lit(at).cast("timestamp_ntz")
-    videos = store.read("dim_videos")
+    before = store.snapshot()
+    videos = store.read("dim_videos", before)
     targeted = candidates(videos).count()
     failed = {}
     if "answered" in attempted.columns:
@@ -134,6 +140,7 @@ def enrich(
     store.publish(
         replace={"dim_videos": folder},
         append={"enrichment_log": store.stage("enrichment_log", log)},
+        based_on=before,
     )
     return {
         "targeted": targeted,

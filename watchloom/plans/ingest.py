@@ -17,7 +17,7 @@ from watchloom.operators.upserts import missing
 from watchloom.session import materialize, together
 from watchloom.sources.export import read_export
 from watchloom.sources.schemas import BROKEN
-from watchloom.sources.store import Store
+from watchloom.sources.store import Store, retried
 
 # Records of one file that share a numbering leaf.
 _POSITIONS_PER_LEAF = 65_536
@@ -245,23 +245,33 @@ class IngestResult:
 
 
 def ingest(
-    store: Store, raw: DataFrame, file_name: str, zone: str = LOCAL_ZONE, now: datetime | None = None
-) -> IngestResult:
+    store: Store, raw: DataFrame, file_name: str, zone: str = LOCAL_ZONE, now: datetime | None = None,
+    epoch: tuple[str, int] | None = None,
+) -> IngestResult | None:
     """One load: classify, extract, add what the store lacks, log the run.
 
     The records are parsed once, into a table in the shared folder. All changes become
-    visible together.
+    visible together. If another load was published meanwhile, what the store lacks is worked out again. A batch of a
+    stream (``epoch``: its name and number) that the store holds already adds and logs nothing.
     """
+    if epoch and store.snapshot().epochs.get(epoch[0], -1) >= epoch[1]:
+        return None
+    extracted = land(raw)
+    return retried(lambda: _ingest(store, extracted, file_name, zone, now, epoch))
+
+
+def _ingest(
+    store: Store, extracted: DataFrame, file_name: str, zone: str, now: datetime | None, epoch: tuple[str, int] | None
+) -> IngestResult:
     began = time.monotonic()
     spark = store.spark
     at = now or datetime.now(UTC).replace(tzinfo=None)
     stamp = F.lit(at).cast("timestamp_ntz")
 
-    before = store.folders()
+    before = store.snapshot()
     channels, videos, events = (
         store.read(t, before) for t in ("dim_channels", "dim_videos", "fact_watch_events")
     )
-    extracted = land(raw)
     parsed = kept(extracted)
     profile, last_channel, last_event = together(
         lambda: _profile(extracted, zone),
@@ -311,7 +321,10 @@ def ingest(
             "fact_watch_events": event_folder,
             "quarantine_events": quarantine_folder,
             "etl_log": store.stage("etl_log", log),
-        }
+        },
+        based_on=before,
+        reads=("dim_channels", "dim_videos", "fact_watch_events"),
+        epoch=epoch,
     )
     return result
 

@@ -255,10 +255,11 @@ def remap(
     began = time.monotonic()
     at = now or datetime.now(UTC).replace(tzinfo=None)
     spark = store.spark
-    categories = store.read("dim_categories")
-    videos = store.read("dim_videos")
+    before = store.snapshot()
+    categories = store.read("dim_categories", before)
+    videos = store.read("dim_videos", before)
     base = materialize(
-        topic_input(store.read("nlp_embeddings"), videos, categories), "topic-input"
+        topic_input(store.read("nlp_embeddings", before), videos, categories), "topic-input"
     )
     assigned, topic_map = fit_topics(base.select("video_id", "embedding"), k, min_size)
     assigned = materialize(assigned, "topic-assigned")
@@ -275,7 +276,7 @@ def remap(
         given_labels,
     )
     # Ids used so far, those of replaced topics included, are kept in the map's info table.
-    info = store.read("topic_map_info").where("name = 'last_topic_id'")
+    info = store.read("topic_map_info", before).where("name = 'last_topic_id'")
     last = info.agg(F.coalesce(F.max(F.col("value").cast("bigint")), F.lit(0)).alias("v")).first()["v"]
     numbered = named.withColumn(
         # One row per topic.
@@ -320,6 +321,7 @@ def remap(
             ),
         },
         append={"topic_log": store.stage("topic_log", _log(store, at, "remap", result, began))},
+        based_on=before,
     )
     return result
 
@@ -328,12 +330,13 @@ def assign_new(store: Store, now: datetime | None = None) -> dict[str, int]:
     """Assigns new vectors to the frozen topics; topic ids do not change."""
     began = time.monotonic()
     at = now or datetime.now(UTC).replace(tzinfo=None)
-    topic_map = store.read("topic_map")
+    before = store.snapshot()
+    topic_map = store.read("topic_map", before)
     topics = topic_map.count()
     if topics == 0:
         raise ValueError("there is no topic map yet: run a remap first")
-    old = store.read("nlp_video_topics")
-    todo = unassigned(store.read("nlp_embeddings"), store.read("dim_videos"), old)
+    old = store.read("nlp_video_topics", before)
+    todo = unassigned(store.read("nlp_embeddings", before), store.read("dim_videos", before), old)
     placed = materialize(nearest_topic(todo, topic_map, topics), "nearest-topic")
     fresh = append_assignments(old, placed.where("topic_id is not null"))
     tally = placed.agg(
@@ -342,12 +345,12 @@ def assign_new(store: Store, now: datetime | None = None) -> dict[str, int]:
     result = {
         "videos_processed": tally["processed"], "videos_assigned": tally["assigned"],
         "videos_outlier": tally["processed"] - tally["assigned"],
-        "topics_created": 0, "topics_total": store.read("nlp_topics").count(),
+        "topics_created": 0, "topics_total": store.read("nlp_topics", before).count(),
     }
     store.publish(append={
         "nlp_video_topics": store.stage("nlp_video_topics", fresh),
         "topic_log": store.stage("topic_log", _log(store, at, "incremental", result, began)),
-    })
+    }, based_on=before, reads=("nlp_video_topics", "topic_map"))
     return result
 
 

@@ -26,7 +26,8 @@ def stream_exports(
     """Loads every export file that has arrived in ``folder`` and stops.
 
     Each export repeats the whole history, so the store itself tells old events from new ones;
-    a watermark would not. Loading a batch twice adds nothing.
+    a watermark would not. A batch that is run again, as its commit went through but the stream's own
+    record of it did not, adds and logs nothing.
     """
     spark: SparkSession = store.spark
     arriving = (
@@ -37,7 +38,7 @@ def stream_exports(
     )
 
     def load(batch: DataFrame, epoch: int) -> None:
-        ingest(store, with_position(batch), f"batch-{epoch}", zone, now)
+        ingest(store, with_position(batch), f"batch-{epoch}", zone, now, (checkpoint, epoch))
 
     return (
         with_file_name(arriving)
