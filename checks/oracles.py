@@ -540,6 +540,27 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC,
 SELECT query, neighbour, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE rank <= 5"""
 
+# Edges in order, each taken if it joins two parts; the parts are kept as one list.
+SQL["density_forest"] = """
+WITH RECURSIVE scored AS (SELECT a.vec_id AS query, b.vec_id AS neighbour,
+    round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS cosine
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+near AS (SELECT query, neighbour, round(1 - cosine, 9) AS d,
+    row_number() OVER (PARTITION BY query ORDER BY cosine DESC, neighbour) AS rank FROM scored),
+core AS (SELECT query AS id, max(d) AS core FROM near WHERE rank <= 3 GROUP BY query),
+pairs AS (SELECT least(query, neighbour) AS a, greatest(query, neighbour) AS b, min(d) AS d FROM near WHERE rank <= 6 GROUP BY 1, 2),
+edges AS (SELECT a, b, greatest(d, x.core, y.core) AS w, row_number() OVER (ORDER BY greatest(d, x.core, y.core), a, b) AS i
+    FROM pairs JOIN core x ON x.id = a JOIN core y ON y.id = b),
+ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings),
+steps AS (SELECT i, p.k AS ka, q.k AS kb FROM edges JOIN ids p ON p.vec_id = a JOIN ids q ON q.vec_id = b),
+walk AS (
+    SELECT 0::BIGINT AS i, (SELECT list(k ORDER BY k) FROM ids) AS part, false AS taken
+    UNION ALL
+    SELECT s.i, CASE WHEN part[ka] <> part[kb] THEN list_transform(part, lambda x: CASE WHEN x = part[kb] THEN part[ka] ELSE x END)
+        ELSE part END, part[ka] <> part[kb]
+    FROM walk JOIN steps s ON s.i = walk.i + 1)
+SELECT a, b, round(w, 6) AS w FROM edges JOIN walk USING (i) WHERE taken"""
+
 # -- language ------------------------------------------------------------------------------
 
 

@@ -20,6 +20,9 @@ from watchloom.operators.sessions import (
     sessions,
     transitions,
 )
+from watchloom.operators import density
+from watchloom.operators.graph import spanning_forest
+from watchloom.operators.vector_index import VectorIndex
 from watchloom.operators.upserts import append_assignments, cascade, flag_failed, upsert_embeddings
 from watchloom.plans import embedding, enrichment, ingest, insights, language, topics, views
 from watchloom.session import materialize, scratch_path
@@ -490,6 +493,27 @@ def cosine_topk(t: Tables) -> DataFrame:
     return similar(v, v, 5, key="vec_id").withColumn("cosine", F.round("cosine", 6))
 
 
+@query
+def indexed_topk(t: Tables) -> DataFrame:
+    """Through the inverted file; these vectors have little structure, so most cells are probed."""
+    v = t.vectors().select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex.build(v, scratch_path(t.spark, "vector-index"), cells=16)
+    return index.search(v, 5, probes=13).withColumn("cosine", F.round("cosine", 6))
+
+
+@query
+def density_forest(t: Tables) -> DataFrame:
+    """The minimum spanning forest of mutual reachability, which density topics are read from."""
+    edges, _ = density.reachability(t.vectors().select(F.col("vec_id").alias("id"), "embedding"), 6, 3)
+    return spanning_forest(edges).withColumn("w", F.round("w", 6))
+
+
+@query
+def density_topics(t: Tables) -> DataFrame:
+    found, _ = density.density_clusters(t.vectors().select(F.col("vec_id").alias("id"), "embedding"), min_size=5, samples=3)
+    return found.select("id", "topic", F.round("density", 6).alias("density"), F.round("strength", 6).alias("strength"))
+
+
 @query
 def embed_job(t: Tables) -> DataFrame:
     texts = t.noisy_documents().select(
