@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.functions.calendar import local_date
+from watchloom.functions.calendar import local_date, local_hour
 from watchloom.functions.constants import LOCAL_ZONE
 
 
@@ -29,3 +29,21 @@ def activity(events: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
             F.max("watched_at").alias("last_at"),
         )
     )
+
+
+def merged_activity(parts: DataFrame) -> DataFrame:
+    """``activity`` of all events from that of several sets of them."""
+    return parts.groupBy("local_date", "channel_id", "video_id").agg(
+        F.sum("views").alias("views"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
+    )
+
+
+def hours(events: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
+    """One row per local day and hour (date_key, hour): views."""
+    return events.groupBy(
+        local_date("watched_at", zone).alias("date_key"), local_hour("watched_at", zone).alias("hour")
+    ).agg(F.count(F.lit(1)).alias("views"))
+
+
+def merged_hours(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("date_key", "hour").agg(F.sum("views").alias("views"))

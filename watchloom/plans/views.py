@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from watchloom.functions.calendar import local_date, local_hour, local_ts, span_days
 from watchloom.functions.constants import LOCAL_ZONE
 from watchloom.functions.stages import funnel_stage, safe_ratio
-from watchloom.operators.activity import activity
+from watchloom.operators.activity import activity, hours
 from watchloom.operators.ordering import rank_by_time
 
 _DAY_COLUMNS = [
@@ -190,20 +190,11 @@ def channel_monthly(
     )
 
 
-def channel_monthly_ordered(view: DataFrame) -> DataFrame:
-    """Reading order of the channel-month view."""
-    return view.orderBy("year", "month", F.desc("views"), "channel_id")
-
-
-def hourly_distribution(events: DataFrame, dates: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
+def hourly_distribution(
+    events: DataFrame, dates: DataFrame, zone: str = LOCAL_ZONE, per_hour: DataFrame | None = None
+) -> DataFrame:
     """Views per year, weekday and local hour, for days of the calendar."""
-    per_hour = (
-        events.groupBy(
-            local_date("watched_at", zone).alias("date_key"),
-            local_hour("watched_at", zone).alias("hour"),
-        )
-        .agg(F.count(F.lit(1)).alias("views"))
-    )
+    per_hour = per_hour if per_hour is not None else hours(events, zone)
     days = dates.select("date_key", "year", "day_of_week_num", "day_of_week", "is_weekend")
     return (
         per_hour.join(days, "date_key")
