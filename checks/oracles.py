@@ -321,6 +321,11 @@ SQL["cooccurrence_all"] = _with("vw") + "," + _sessions("vw", 45, "viewer") + ""
 SELECT a.channel_id, b.channel_id AS other_channel, count(*) AS shared_sessions
 FROM seen a JOIN seen b ON a.viewer = b.viewer AND a.session_id = b.session_id AND a.channel_id < b.channel_id
 GROUP BY ALL"""
+SQL["cooccurrence_global"] = _with("ev") + "," + _sessions("ev", 5) + """
+, seen AS (SELECT DISTINCT session_id, channel_id FROM sess WHERE channel_id IS NOT NULL)
+SELECT a.channel_id, b.channel_id AS other_channel, count(*) AS shared_sessions
+FROM seen a JOIN seen b ON a.session_id = b.session_id AND a.channel_id < b.channel_id
+GROUP BY ALL"""
 
 # -- ingest --------------------------------------------------------------------------------
 

@@ -191,6 +191,12 @@ def cooccurrence_all(t: Tables) -> DataFrame:
     return insights.all_cooccurrence(shared, keys=["viewer"])
 
 
+@query
+def cooccurrence_global(t: Tables) -> DataFrame:
+    """One viewer: sessions are those of all events."""
+    return insights.all_cooccurrence(session_channels(t.events(), gap_minutes=5))
+
+
 # -- ingest --------------------------------------------------------------------------------
 
 
