@@ -206,36 +206,70 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 def with_tools(conversations: DataFrame) -> DataFrame:
     """The conversations with tool messages derived from their turns, as the table holds none of its own.
 
-    Every turn of a user becomes a call that looks up the text, and the result is the text of the next assistant turn. So
-    that every case occurs, what a call looks like follows from the length of its text: one in seven gives its number
-    of words as text, one in eleven forgets it, one in thirteen names a tool that isn't there, one in seventeen gets its
-    result too early and one in nineteen no result; every other call comes after the one two turns before.
+    Every line of a user's turn becomes a call that looks it up. It needs the call before it: that of the line above, or
+    the last one of the user's turn before, so a conversation is one chain. The result is the text of the assistant's turn
+    that follows; where none follows there is no result. So that every case occurs, the length of a line decides: one in
+    seven gives its number of words as text, one in eleven forgets it, one in thirteen names a tool that isn't there, one in
+    seventeen gets its result too early, one in nineteen gets none, one in 23 is called again, one in 29 has a stray
+    result, one in 31 a second one; and where the length of a turn is a multiple of 37 its first call needs its last.
     """
-    n = F.length("text")
-    words = F.size(F.split(F.btrim("text"), r"\s+"))
-    user = conversations.where("role = 'user' AND text IS NOT NULL")
-    call_id = F.concat(F.lit("call_"), F.col("turn"))
-    arguments = F.to_json(F.struct(
-        F.col("text").alias("query"),
-        F.when(n % 11 != 0, F.when(n % 7 == 0, F.lit("many")).otherwise(words.cast("string"))).alias("words"),
-    ))
-    after = F.when(F.col("turn") % 4 == 2, F.concat(F.lit("call_"), F.col("turn") - 2))
-    calls = user.select(
-        "conv_id", (F.col("turn") * 4 + 1).alias("turn"), F.lit("assistant").alias("role"),
-        F.concat(
-            F.lit('{"tool_calls":[{"id":"'), call_id, F.lit('","name":"'),
-            F.when(n % 13 == 0, F.lit("gone")).otherwise(F.lit("lookup")), F.lit('"'),
-            F.coalesce(F.concat(F.lit(',"after":"'), after, F.lit('"')), F.lit("")),
-            F.lit(',"arguments":'), arguments, F.lit("}]}"),
-        ).alias("text"),
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x) != "")
+    user = conversations.where("role = 'user' AND text IS NOT NULL").select("conv_id", "turn", "text", lines.alias("lines"))
+    answers = conversations.where("role = 'assistant'").groupBy("conv_id", (F.col("turn") - 1).alias("turn")).agg(F.min("text").alias("answer"))
+    former = user.groupBy("conv_id", (F.col("turn") + 2).alias("turn")).agg(F.max(F.size("lines")).alias("before"))
+    # A table of its own: what follows takes lines apart in several ways.
+    user = user.join(answers, ["conv_id", "turn"], "left").join(former, ["conv_id", "turn"], "left")
+    user = materialize(user.withColumnRenamed("turn", "spoken"), "user-turns")
+
+    def name(turn: Column, place: Column) -> Column:
+        return F.concat(F.lit("call_"), turn, F.lit("_"), place)
+
+    def call(line: Column, place: Column) -> Column:
+        n, turn = F.length(line), F.col("spoken")
+        words = F.size(F.split(F.btrim(line), r"\s+"))
+        after = (
+            F.when(place > 0, name(turn, place - 1)).when(F.length("text") % 37 == 0, name(turn, F.size("lines") - 1))
+            .when(F.col("before") > 0, name(turn - 2, F.col("before") - 1))
+        )
+        return F.struct(
+            name(turn, place).alias("id"), F.when(n % 13 == 0, F.lit("gone")).otherwise(F.lit("lookup")).alias("name"), after.alias("after"),
+            F.struct(
+                line.alias("query"), F.when(n % 11 != 0, F.when(n % 7 == 0, F.lit("many")).otherwise(words.cast("string"))).alias("words")
+            ).alias("arguments"),
+        )
+
+    def message(calls: Column) -> Column:
+        return F.to_json(F.struct(calls.alias("tool_calls")))
+
+    def result(call_id: Column, content: Column) -> Column:
+        return F.to_json(F.struct(call_id.alias("tool_call_id"), content.alias("content")))
+
+    turn = F.col("spoken") * 4
+    calls = user.where(F.size("lines") > 0).select(
+        "conv_id", (turn + 1).alias("turn"), F.lit("assistant").alias("role"), message(F.transform("lines", call)).alias("text")
+    )
+    single = user.select("*", F.posexplode("lines").alias("place", "line")).withColumn("n", F.length("line"))
+    own = name(F.col("spoken"), F.col("place"))
+    again = single.where("n % 23 = 0").select(
+        "conv_id", (turn + 2).alias("turn"), F.lit("assistant").alias("role"), message(F.array(call(F.col("line"), F.col("place")))).alias("text")
+    )
+    answered = single.where("n % 19 <> 0 AND answer IS NOT NULL")
+    results = answered.select(
+        "conv_id", F.when(F.col("n") % 17 == 0, turn).otherwise(turn + 2).alias("turn"), F.lit("tool").alias("role"),
+        result(own, F.col("answer")).alias("text"),
+    )
+    second = answered.where("n % 31 = 0").select(
+        "conv_id", (turn + 3).alias("turn"), F.lit("tool").alias("role"), result(own, F.lit("again")).alias("text")
     )
-    answers = user.where(n % 19 != 0).select(
-        "conv_id", F.when(n % 17 == 0, F.col("turn") * 4).otherwise(F.col("turn") * 4 + 2).alias("turn"),
-        F.lit("tool").alias("role"),
-        F.to_json(F.struct(call_id.alias("tool_call_id"), F.md5("text").alias("content"))).alias("text"),
+    stray = single.where("n % 29 = 0").select(
+        "conv_id", (turn + 3).alias("turn"), F.lit("tool").alias("role"),
+        result(F.concat(F.lit("stray_"), "spoken", F.lit("_"), "place"), F.col("line")).alias("text"),
     )
     plain = conversations.select("conv_id", (F.col("turn") * 4 + 3).alias("turn"), "role", "text")
-    return plain.unionByName(calls).unionByName(answers)
+    out = plain
+    for part in (calls, again, results, second, stray):
+        out = out.unionByName(part)
+    return out
 
 
 def tool_schemas(spark: SparkSession) -> DataFrame:
@@ -252,26 +286,47 @@ def op10_tool_calls(spark, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    """The same from the turns themselves: what each derived call must come to."""
+    """The same from the turns themselves: what each derived call and result must come to."""
     return r"""
-WITH u AS (
-  SELECT conv_id, turn, text, length(text) AS n,
-    len(regexp_split_to_array(trim(text), '\s+')) AS words,
-    CASE WHEN turn % 4 = 2 THEN 'call_' || (turn - 2) END AS after
+WITH RECURSIVE u AS (
+  SELECT conv_id, turn, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines
   FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+v AS (
+  SELECT u.*, (SELECT max(len(p.lines)) FROM u p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2) AS before,
+    (SELECT min(a.text) FROM conversations a WHERE a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant') AS answer
+  FROM u),
 c AS (
-  SELECT u.*, 'call_' || turn AS call_id,
-    CASE WHEN n % 13 = 0 THEN 'gone' ELSE 'lookup' END AS name,
-    CASE WHEN n % 11 <> 0 THEN CASE WHEN n % 7 = 0 THEN 'many' ELSE words::VARCHAR END END AS given,
-    CASE WHEN n % 19 <> 0 THEN CASE WHEN n % 17 = 0 THEN turn * 4 ELSE turn * 4 + 2 END END AS result_turn,
-    (after IS NOT NULL AND EXISTS (SELECT 1 FROM u p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2))::INT AS level
-  FROM u)
-SELECT conv_id, call_id, turn * 4 + 1 AS turn, 0 AS place, result_turn, level,
-  CASE WHEN name = 'gone' THEN 'unknown tool' WHEN given IS NULL THEN 'missing words'
-    WHEN given = 'many' THEN 'type of words' WHEN result_turn IS NULL THEN 'no result'
+  SELECT conv_id, turn, i - 1 AS place, lines[i] AS line, length(lines[i]) AS n, 'call_' || turn || '_' || (i - 1) AS call_id,
+    CASE WHEN i > 1 THEN 'call_' || turn || '_' || (i - 2)
+      WHEN length(text) % 37 = 0 THEN 'call_' || turn || '_' || (len(lines) - 1)
+      WHEN before > 0 THEN 'call_' || (turn - 2) || '_' || (before - 1) END AS after,
+    CASE WHEN length(lines[i]) % 19 <> 0 THEN answer END AS answer,
+    CASE WHEN length(lines[i]) % 13 = 0 THEN 'gone' ELSE 'lookup' END AS name,
+    CASE WHEN length(lines[i]) % 11 <> 0 THEN CASE WHEN length(lines[i]) % 7 = 0 THEN 'many'
+      ELSE len(regexp_split_to_array(trim(lines[i]), '\s+'))::VARCHAR END END AS given
+  FROM v, unnest(range(1, len(lines) + 1)) AS t(i)),
+d AS (
+  SELECT *, CASE WHEN answer IS NOT NULL THEN CASE WHEN n % 17 = 0 THEN turn * 4 ELSE turn * 4 + 2 END END AS result_turn,
+    '{"after":' || coalesce('"' || after || '"', 'null') || ',"arguments":{"query":' || to_json(line)
+      || CASE WHEN given IS NULL THEN '' WHEN given = 'many' OR name = 'gone' THEN ',"words":"' || given || '"'
+        ELSE ',"words":' || given END || '},"id":"' || call_id || '","name":"' || name || '","result":' AS body
+  FROM c),
+l AS (
+  SELECT conv_id, call_id, 0 AS level FROM c
+  WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.call_id = c.after)
+  UNION ALL
+  SELECT c.conv_id, c.call_id, l.level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.after = l.call_id)
+SELECT d.conv_id, d.call_id, turn * 4 + 1 AS turn, place::INT AS place, result_turn, level::INT AS level,
+  CASE WHEN name = 'gone' THEN 'unknown tool' WHEN given IS NULL THEN 'missing words' WHEN given = 'many' THEN 'type of words'
+    WHEN level IS NULL THEN 'circle' WHEN result_turn IS NULL THEN 'no result'
     WHEN result_turn < turn * 4 + 1 THEN 'early result' ELSE 'ok' END AS status,
-  '{"after":' || coalesce('"' || after || '"', 'null') || ',"arguments":{"query":' || to_json(text)
-    || CASE WHEN given IS NULL THEN '' WHEN given = 'many' OR name = 'gone' THEN ',"words":"' || given || '"'
-      ELSE ',"words":' || given END || '},"id":"' || call_id || '","name":"' || name
-    || '","result":' || CASE WHEN result_turn IS NULL THEN 'null' ELSE '"' || md5(text) || '"' END || '}' AS json
-FROM c"""
+  body || CASE WHEN answer IS NULL THEN 'null' ELSE to_json(answer)::VARCHAR END || '}' AS json
+FROM d LEFT JOIN l ON l.conv_id = d.conv_id AND l.call_id = d.call_id
+UNION ALL
+SELECT conv_id, call_id, turn * 4 + 2, 0, NULL, NULL, 'repeated call', body || 'null}' FROM d WHERE n % 23 = 0
+UNION ALL
+SELECT conv_id, call_id, NULL, NULL, turn * 4 + 3, NULL, 'repeated result', '{"id":"' || call_id || '","result":"again"}'
+FROM d WHERE n % 31 = 0 AND answer IS NOT NULL
+UNION ALL
+SELECT conv_id, 'stray_' || turn || '_' || place, NULL, NULL, turn * 4 + 3, NULL, 'no call',
+  '{"id":"stray_' || turn || '_' || place || '","result":' || to_json(line) || '}' FROM d WHERE n % 29 = 0"""
