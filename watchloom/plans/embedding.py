@@ -12,7 +12,7 @@ from watchloom.functions.text import input_text
 from watchloom.operators.encoders import NO_TEXT, Encoder
 from watchloom.operators.upserts import flag_failed, missing, upsert_embeddings
 from watchloom.session import materialize
-from watchloom.sources.store import Store
+from watchloom.sources.store import Store, retried
 
 
 def candidates(videos: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -35,12 +35,15 @@ def embed(texts: DataFrame, encoder: Encoder) -> DataFrame:
 def embed_videos(
     store: Store, encoder: Encoder, now: datetime | None = None
 ) -> dict[str, int]:
-    """Embeds what is new, records failures, logs the run."""
+    """Embeds what is new, records failures, logs the run.
+
+    If the stored vectors changed meanwhile, the new ones are put to them as they are then; nothing is encoded twice.
+    """
     began = time.monotonic()
     at = now or datetime.now(UTC).replace(tzinfo=None)
     stamp = F.lit(at).cast("timestamp_ntz")
-    old = store.read("nlp_embeddings")
-    todo = video_texts(candidates(store.read("dim_videos"), old))
+    start = store.snapshot()
+    todo = video_texts(candidates(store.read("dim_videos", start), store.read("nlp_embeddings", start)))
 
     # Encoding is the expensive step: keep its result in the shared folder and read it twice.
     done = materialize(embed(todo, encoder), "vectors")
@@ -52,8 +55,6 @@ def embed_videos(
         stamp.alias("created_at"),
     )
     failed = done.where("error is not null").select("video_id")
-    merged = flag_failed(upsert_embeddings(old, fresh), failed, encoder.name, encoder.version, stamp)
-    folder = store.stage("nlp_embeddings", merged)
 
     tally = done.agg(
         F.count(F.lit(1)).alias("targeted"),
@@ -68,8 +69,15 @@ def embed_videos(
         "videos_embedded bigint, videos_failed bigint, videos_skipped bigint, "
         "duration_seconds double",
     )
-    store.publish(
-        replace={"nlp_embeddings": folder},
-        append={"embed_log": store.stage("embed_log", log)},
-    )
+    log_folder = store.stage("embed_log", log)
+
+    def put() -> None:
+        before = store.snapshot()
+        old = store.read("nlp_embeddings", before)
+        merged = flag_failed(upsert_embeddings(old, fresh), failed, encoder.name, encoder.version, stamp)
+        store.publish(
+            replace={"nlp_embeddings": store.stage("nlp_embeddings", merged)}, append={"embed_log": log_folder}, based_on=before
+        )
+
+    retried(put)
     return tally
