@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.operators.neighbours import _best_of_block, unit_rows
+from watchloom.operators.neighbours import BLOCK_ROWS, best_of_all, unit_rows
 from watchloom.session import remove
 
 #: Vectors that centroids are fitted on, and rounds of fitting.
@@ -22,7 +22,7 @@ SAMPLE, ROUNDS = 20_000, 12
 #: Centroids at most: they travel to every task.
 MAX_CELLS = 4096
 #: Queries of a cell that one task compares with it.
-QUERY_BLOCK = 4096
+QUERY_BLOCK = BLOCK_ROWS
 
 
 def centroids_of(sample: np.ndarray, cells: int, seed: int) -> np.ndarray:
@@ -78,22 +78,25 @@ class VectorIndex:
         # One row per cell.
         counts = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
         stored = self.vectors().where(F.col("cell").isin(sorted(counts)))
-        blocks = {c: -(-n // QUERY_BLOCK) for c, n in counts.items()}
-        number = F.create_map(*[F.lit(x) for pair in sorted(blocks.items()) for x in pair]) if blocks else F.lit(None)
-        left = stored.select(
-            F.col("id").alias("neighbour"), "embedding", "cell", F.explode(F.sequence(F.lit(0), number[F.col("cell")] - 1)).alias("block")
-        )
-        right = asked.withColumn("block", F.pmod(F.xxhash64("query"), number[F.col("cell")]).cast("int"))
+        held = {r["cell"]: r["count"] for r in stored.groupBy("cell").count().collect()}
+        asking = {c: -(-n // QUERY_BLOCK) for c, n in counts.items()}
+        holding = {c: max(1, -(-held.get(c, 0) // BLOCK_ROWS)) for c in counts}
+
+        def of_cell(numbers: dict[int, int]) -> Column:
+            pairs = [F.lit(x) for pair in sorted(numbers.items()) for x in pair]
+            return F.create_map(*pairs)[F.col("cell")] if pairs else F.lit(None).cast("int")
+
+        def dealt(name: str, numbers: dict[int, int]) -> Column:
+            return F.pmod(F.xxhash64(name), of_cell(numbers)).cast("int")
 
-        def best(items: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-            return _best_of_block(items, some, k, exclude_self)
+        def each(numbers: dict[int, int]) -> Column:
+            return F.explode(F.sequence(F.lit(0), of_cell(numbers) - 1))
 
-        kinds = [df.schema[c].dataType.simpleString() for df, c in ((right, "query"), (left, "neighbour"))]
-        partial = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(
-            best, f"query {kinds[0]}, neighbour {kinds[1]}, cosine double"
+        left = stored.select(F.col("id").alias("neighbour"), "embedding", "cell").withColumn("part", dealt("neighbour", holding))
+        right = asked.withColumn("block", dealt("query", asking))
+        return best_of_all(
+            left.withColumn("block", each(asking)), right.withColumn("part", each(holding)), ["cell", "block", "part"], k, exclude_self
         )
-        order = Window.partitionBy("query").orderBy(F.desc("cosine"), F.asc("neighbour"))
-        return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     def split(self, limit: int, seed: int = 42) -> int:
         """Cuts every cell of more than ``limit`` vectors in two, once; returns how many. Other folders stay as they are."""
