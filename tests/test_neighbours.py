@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from watchloom.operators import neighbours
+from watchloom.operators import density, neighbours
+from watchloom.operators.vector_index import VectorIndex
 
 
 def table(name, ids, vectors):
@@ -44,3 +45,17 @@ def test_a_block_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20, peak
+
+
+def test_a_vector_is_one_row_for_all_its_cells(spark, tmp_path):
+    """Python tasks give the cells of a vector as a list; before, they repeated the vector for each."""
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "id long, embedding array<float>")
+    index = VectorIndex.build(rows, str(tmp_path / "index"), cells=4)
+    placed = index._placed(rows, 3)
+    assert placed.count() == 180 and placed.distinct().count() == 180
+    assert "Generate explode(places" in placed._jdf.queryExecution().toString()
+
+
+def test_regions_keep_one_copy_of_their_nodes():
+    nodes = [{"node": n, "size": 1, "own": None, "total": 0.0, "inside": 0.0} for n in range(3)]
+    assert all(density.Regions(2, nodes).state[s["node"]] is s for s in nodes)

@@ -10,11 +10,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.operators.neighbours import BLOCK_ROWS, best_of_all, unit_rows
+from watchloom.operators.neighbours import BLOCK_ROWS, best_of_all, unit_matrix, unit_rows
 from watchloom.session import remove
 
 #: Vectors that centroids are fitted on, and rounds of fitting.
@@ -23,6 +23,8 @@ SAMPLE, ROUNDS = 20_000, 12
 MAX_CELLS = 4096
 #: Queries of a cell that one task compares with it.
 QUERY_BLOCK = BLOCK_ROWS
+#: Products with centroids that a task holds at a time.
+SCORES = 1 << 21
 
 
 def centroids_of(sample: np.ndarray, cells: int, seed: int) -> np.ndarray:
@@ -133,17 +135,19 @@ class VectorIndex:
             numbers, centroids = np.array([n for n, _ in cells]), np.array([c for _, c in cells])
         shared = self.spark.sparkContext.broadcast((numbers.astype(np.int32), centroids))
 
-        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
             most = min(places, len(names))
-            for frame in frames:
-                if frame.empty:
-                    continue
-                scores = np.round(unit_rows(frame["embedding"]) @ matrix.T, 9)
-                near = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-                out = frame.loc[frame.index.repeat(most)].reset_index(drop=True)
-                yield out.assign(place=names[near].ravel())
+            step = max(1, SCORES // len(names))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    scores = np.round(unit_matrix(pa.chunked_array([part.column("embedding")]))[0] @ matrix.T, 9)
+                    near = scores.argmax(axis=1)[:, None] if most == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :most]
+                    found = pa.FixedSizeListArray.from_arrays(pa.array(names[near].ravel()), most).cast(pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, found], names=["id", "embedding", "places"])
 
         rows = vectors.select("id", "embedding")
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-        return rows.mapInPandas(place, f"{fields}, place int")
+        # A vector and its places are one row in the tasks.
+        return rows.mapInArrow(place, f"{fields}, places array<int>").select("id", "embedding", F.explode("places").alias("place"))
