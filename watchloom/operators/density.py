@@ -57,7 +57,7 @@ class Regions:
     def __init__(self, min_size: int, nodes: list[dict]) -> None:
         self.min_size = min_size
         self.up = {s["node"]: s["node"] for s in nodes}
-        self.state = {s["node"]: dict(s) for s in nodes}
+        self.state = {s["node"]: s for s in nodes}
         #: Nodes whose vectors are in no cluster yet, by region.
         self.waiting = {s["node"]: [s["node"]] for s in nodes if s["own"] is None}
         self.joins: list[dict] = []
@@ -107,22 +107,27 @@ class Regions:
 
 def _grown(edges: DataFrame, states: DataFrame, min_size: int) -> DataFrame:
     """States, clusters and joins of each group, from its edges (grp, a, b, w, ea, eb) and its nodes (grp and state)."""
-    kind = states.schema["node"].dataType.simpleString()
+    node = states.schema["node"].dataType.simpleString()
     fields = ["kind", "node", "size", "own", "total", "inside", "parent", "density", "worth", "chosen"]
     schema = (
-        f"kind string, node {kind}, size long, own string, total double, inside double, parent string, density double, "
+        f"kind string, node {node}, size long, own string, total double, inside double, parent string, density double, "
         "worth double, chosen boolean"
     )
 
     def grow(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         regions = Regions(min_size, right.select(["node", "size", "own", "total", "inside"]).to_pylist())
-        for e in left.sort_by([("w", "ascending"), ("ea", "ascending"), ("eb", "ascending")]).to_pylist():
-            regions.join(e["a"], e["b"], e["w"], f"{e['ea']} {e['eb']}")
-        rows = [{"kind": "state", **s} for s in regions.state.values()]
-        rows += [{"kind": "cluster", **c} for c in regions.clusters] + [{"kind": "join", **j} for j in regions.joins]
+        left = left.select(["a", "b", "w", "ea", "eb"]).sort_by([("w", "ascending"), ("ea", "ascending"), ("eb", "ascending")])
+        # A portion of the edges at a time becomes Python's numbers.
+        for batch in left.to_batches(max_chunksize=10_000):
+            for x, y, w, ea, eb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                regions.join(x, y, w, f"{ea} {eb}")
+        found = {"state": regions.state.values(), "cluster": regions.clusters, "join": regions.joins}
         types = [right.schema.field("node").type if f == "node" else {"size": pa.int64(), "chosen": pa.bool_()}.get(
             f, pa.string() if f in ("kind", "own", "parent") else pa.float64()) for f in fields]
-        return pa.table({f: pa.array([r.get(f) for r in rows], t) for f, t in zip(fields, types, strict=True)})
+        return pa.concat_tables(
+            pa.table({f: pa.array([kind if f == "kind" else r.get(f) for r in rows], t) for f, t in zip(fields, types, strict=True)})
+            for kind, rows in found.items()
+        )
 
     return edges.groupBy("grp").cogroup(states.groupBy("grp")).applyInArrow(grow, schema)
 
