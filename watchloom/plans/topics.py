@@ -177,10 +177,18 @@ def topic_keywords(
     ln(1 + A / its overall frequency), A being the mean number of terms per topic.
     """
     words = tokens(F.col("document"), stop_words)
-    per_document = documents.select("topic", "doc_key", F.explode(terms(words)).alias("term"))
-    counted = per_document.groupBy("topic", "term", "doc_key").agg(F.count(F.lit(1)).alias("n"))
-    per_topic = counted.groupBy("topic", "term").agg(
-        F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("documents")
+    listed = documents.select("topic", "doc_key", terms(words).alias("terms"))
+    # Rows of one document are put together, so that a term counts once for it; rows are few against their terms.
+    several = documents.groupBy("topic", "doc_key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    if not several.isEmpty():
+        listed = listed.groupBy("topic", "doc_key").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    # Every term, and once more for its document: sums of both need no row per document.
+    marked = F.concat(
+        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
+        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))),
+    )
+    per_topic = listed.select("topic", F.explode(marked).alias("t")).groupBy("topic", F.col("t.term").alias("term")).agg(
+        F.sum("t.n").alias("frequency"), F.sum("t.d").alias("documents")
     )
     # A term has at most one row per topic, so its window is no larger than the topic list.
     of_term = Window.partitionBy("term")
