@@ -410,3 +410,27 @@ def test_line_dedup_leaves_no_scratch(spark):
     before = set(os.listdir(session.shared_dir(spark)))
     assert lines.duplicates(docs).count() == 1
     assert len(set(os.listdir(session.shared_dir(spark))) - before) == 1  # the result itself
+
+
+def test_line_dedup_leaves_no_shuffle_files(spark):
+    """What a step has shuffled goes when the step is written, not when the driver collects garbage."""
+    import glob
+    import time
+
+    from watchloom import session
+
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    folders = manager.localDirsString()
+
+    def shuffled():
+        return {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    rows = near_rows() * 3
+    before = shuffled()
+    gone = lines.duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    for _ in range(40):  # executors delete them behind the query's back
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.25)
+    assert not left and gone.count() > 0
+    assert spark.conf.get(session.CLEANUP) == "false"
