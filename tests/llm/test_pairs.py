@@ -434,3 +434,50 @@ def test_line_dedup_leaves_no_shuffle_files(spark):
         time.sleep(0.25)
     assert not left and gone.count() > 0
     assert spark.conf.get(session.CLEANUP) == "false"
+
+
+def test_lines_meet_once(spark):
+    """Lines that share several keys are one pair when the join is done, and no pair that shares a key is missed."""
+    rows = near_rows() + [(100 + k, f"extraordinarilylong a{k} b{k} common words of c{k % 3} lines") for k in range(12)]
+    spots = lines.spotted(spark.createDataFrame(rows, "doc_id long, text string"))
+    different = spots.where("n IS NOT NULL").select("line", F.length("n").alias("size"), "prints", "n").dropDuplicates(["line"]).cache()
+    keys = lines.keyed(different).select("key", "line")
+    known = different.select(
+        "line", F.col("line").alias("root"), "size", F.slice("prints", 1, lines.BLOCKS).alias("blocks"),
+        *[F.get("prints", F.lit(lines.BLOCKS + k)).alias(f"s{k}") for k in (0, 1)],
+    )
+    found = lines.crossing(keys.join(known, "line"))
+    assert not re.search(r"Aggregate \[a#", found._jdf.queryExecution().optimizedPlan().toString())
+    got = [(r.a, r.b) for r in found.collect()]
+    texts = {r.line: r.n for r in different.select("line", "n").collect()}
+    prints = {c: [print_of(n, k) for k in range(lines.BLOCKS)] for c, n in texts.items()}
+    want = {
+        (a, b) for a, b in combinations(sorted(texts), 2)
+        if abs(len(texts[a]) - len(texts[b])) <= int(max(len(texts[a]), len(texts[b])) * (1 - lines.SIMILARITY) + 1e-9)
+        and meet(texts[a], texts[b], prints[a], prints[b])
+        and sum(x == y for x, y in zip(sketch_of(texts[a]), sketch_of(texts[b]))) >= lines.MATCHES
+    }
+    assert len(want) > 60 and len(got) == len(set(got)) and set(got) == want
+    assert keys.groupBy("line").count().agg(F.max("count")).first()[0] > 1
+
+
+def test_shared_ends(spark):
+    """The edit distance of what lies between shared ends is that of the whole texts."""
+    dice = random.Random(5)
+    pairs = [("abc", ""), ("", "x"), ("aaaa", "aaa"), ("aba", "ababa"), ("one two", "one three two"), ("x" * 70000 + "a", "x" * 70000 + "b")]
+    for k in range(60):
+        a = "".join(dice.choice("abü\U0001d4d0") for _ in range(dice.randrange(1, 40)))
+        at = dice.randrange(len(a) + 1)
+        pairs.append((a, a[:at] + "".join(dice.choice("abü") for _ in range(dice.randrange(3))) + a[at + dice.randrange(3):]))
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k long, a string, b string")
+    core = lines.between_ends(F.col("a"), F.col("b"))
+    got = {r.k: r.c for r in df.select("k", core.alias("c")).collect()}
+    for k, (a, b) in enumerate(pairs):
+        if len(a) < 100:
+            assert distance(got[k].a, got[k].b) == distance(a, b), (a, b, got[k])
+            assert not (got[k].a and got[k].b) or got[k].a[0] != got[k].b[0] and got[k].a[-1] != got[k].b[-1]
+    assert len(got[5].a) < 5000
+    texts = df.selectExpr("2 * k AS line", "a AS n").union(df.selectExpr("2 * k + 1 AS line", "b AS n"))
+    near = {r.a // 2 for r in lines.similar(df.selectExpr("2 * k AS a", "2 * k + 1 AS b"), texts).collect()}
+    most = [int(max(len(a), len(b)) * (1 - lines.SIMILARITY) + 1e-9) for a, b in pairs]
+    assert near == {k for k, (a, b) in enumerate(pairs) if k == 5 or k != 5 and distance(a, b) <= most[k]}
