@@ -481,3 +481,55 @@ def test_shared_ends(spark):
     near = {r.a // 2 for r in lines.similar(df.selectExpr("2 * k AS a", "2 * k + 1 AS b"), texts).collect()}
     most = [int(max(len(a), len(b)) * (1 - lines.SIMILARITY) + 1e-9) for a, b in pairs]
     assert near == {k for k, (a, b) in enumerate(pairs) if k == 5 or k != 5 and distance(a, b) <= most[k]}
+
+
+def test_edits_within_a_bound():
+    """Bands of bits, side by side or one by one, against the plain edit distance."""
+    from watchloom.llm import edits
+
+    dice = random.Random(8)
+    for letters, size, most_words in (("ab", 30, 1), ("abcdefgh", 200, 1), ("abü \U0001d4d0xyz", 90, 2), ("".join(map(chr, range(200, 600))), 260, 3)):
+        one, two, most = [], [], []
+        for k in range(60):
+            a = "".join(dice.choice(letters) for _ in range(dice.randrange(size)))
+            b = list(a)
+            for _ in range(dice.randrange(len(a) // 6 + 2)):
+                at = dice.randrange(len(b) + 1)
+                b[at:at + dice.randrange(3)] = [dice.choice(letters)] * dice.randrange(3)
+            one.append(a)
+            two.append("".join(b))
+            most.append(dice.choice([len(a) // 10, len(a) // 5, dice.randrange(64 * most_words)]))
+        want = [distance(a, b) <= m for a, b, m in zip(one, two, most)]
+        assert edits.within(one, two, most).tolist() == want and 5 < sum(want) < 58
+        assert [bool(edits.within([a], [b], [m])[0]) for a, b, m in zip(one, two, most)] == want
+    long = "".join(dice.choice("abc") for _ in range(60_000))
+    other = long[:100] + "x" + long[101:-100] + "yy" + long[-99:]
+    assert edits.within([long] * 2, [other] * 2, [2, 3]).tolist() == [False, True]
+
+
+def test_keys_are_no_join(spark, monkeypatch):
+    """The pairs of a key are counted off in the tasks: no row of a join each, no edit distance of Spark's for any. A key that
+    is dealt out in blocks has the same pairs, and keys with one root have none."""
+    rows = near_rows() + [(100 + k, f"extraordinarilylong a{k} b{k} common words of c{k % 3} lines") for k in range(30)]
+    spots = lines.spotted(spark.createDataFrame(rows, "doc_id long, text string"))
+    different = spots.where("n IS NOT NULL").select("line", F.length("n").alias("size"), "prints", "n").dropDuplicates(["line"]).cache()
+    keys = lines.keyed(different)
+    assert keys.groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("c <> n").isEmpty()
+    known = different.select(
+        "line", F.col("line").alias("root"), "size", F.slice("prints", 1, lines.BLOCKS).alias("blocks"),
+        *[F.get("prints", F.lit(lines.BLOCKS + k)).alias(f"s{k}") for k in (0, 1)],
+    )
+    shared = keys.select("key", "line", "n").join(known, "line").localCheckpoint()
+    found = lines.crossing(shared)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((r.a, r.b) for r in found.collect())
+    assert len(want) > 100
+    for cell, at_once in ((3, 7), (1, 1), (1 << 12, 5)):
+        monkeypatch.setattr(lines, "CELL", cell)
+        monkeypatch.setattr(lines, "PAIRS_AT_ONCE", at_once)
+        table = lines.cells(shared).coalesce(1).sortWithinPartitions("key", "cell", "upper").toArrow().combine_chunks()
+        held = list(lines._crossing(iter(table.to_batches(max_chunksize=4))))
+        assert sorted((a, b) for pb in held for a, b in zip(*[c.to_pylist() for c in pb.columns])) == want
+    assert lines.crossing(shared.withColumn("root", F.lit(1).cast("long"))).isEmpty()
+    near = lines.similar(found, different.select("line", "n"))
+    assert "levenshtein" not in near._jdf.queryExecution().optimizedPlan().toString()
